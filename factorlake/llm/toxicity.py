@@ -76,13 +76,13 @@ def counted(sample: DataFrame, features) -> DataFrame:
     return common.map_texts(rows, work, "term string, toxic_docs long, clean_docs long").groupBy("term").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs"))
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON, least_docs: int = 5, least_weight: float = 2.5) -> dict[str, float]:
-    """Terms and their weights."""
+def learn_lexicon(sample: DataFrame, size: int = LEXICON, least_docs: int = 5, least_share: float = 0.005, least_weight: float = 3.5) -> dict[str, float]:
+    """Terms and their weights; a term must occur in ``least_docs`` toxic documents and in ``least_share`` of them, so chance meetings of rare words don't count."""
     totals = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return {}
     ratio = F.log((F.col("toxic_docs") + 0.5) / (totals[True] + 1)) - F.log((F.col("clean_docs") + 0.5) / (totals[False] + 1))
-    terms = counted(sample, lambda text: terms_of(folded_words(text))).where(F.col("toxic_docs") >= least_docs).withColumn("weight", ratio).where(F.col("weight") >= least_weight)
+    terms = counted(sample, lambda text: terms_of(folded_words(text))).where((F.col("toxic_docs") >= least_docs) & (F.col("toxic_docs") >= least_share * totals[True])).withColumn("weight", ratio).where(F.col("weight") >= least_weight)
     best = terms.orderBy(F.desc(F.col("weight") * F.sqrt("toxic_docs")), "term").limit(size)
     return {r["term"]: r["weight"] for r in best.collect()}
 
