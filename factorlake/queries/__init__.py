@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import features
+from . import features, finance, research, texts
 from .base import Query
 
-_PARTS = (features,)
+_PARTS = (features, research, finance, texts)
 
 
 def queries() -> dict[str, Query]:
