@@ -47,12 +47,12 @@ def gram_counts(texts: list[str], longest: int = 3) -> tuple[np.ndarray, np.ndar
     base, made, inside, code = row << GRAM_BITS, [], np.ones(len(flat), dtype=bool), np.zeros(len(flat), dtype=np.uint64)
     for n in range(1, longest + 1):  # code[i]: the n units from i on
         code = (code[: len(flat) - n + 1] << np.uint64(16)) | flat[n - 1 :]
-        if n >= 3:
-            inside = inside[: len(code)] & letter[n - 2 : n - 2 + len(code)]  # no blank within
-        else:
-            inside = inside[: len(code)]
-        whole = inside & (row[: len(code)] == row[n - 1 :]) & (letter[: len(code)] | letter[n - 1 :])
-        made.append(base[: len(code)][whole] | code[whole])
+        size = len(code)
+        if n >= 3:  # no blank within
+            inside = inside[:size] & letter[n - 2 : n - 2 + size]
+        whole = row[:size] == row[n - 1 :]
+        whole &= inside[:size] if n >= 3 else letter[:size] | letter[n - 1 :]
+        made.append(base[:size][whole] | code[whole])
     grams = np.sort(np.concatenate(made))
     first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     return grams[first] >> GRAM_BITS, grams[first] & np.uint64((1 << 48) - 1), np.diff(np.append(first, len(grams))).astype(np.uint64)

@@ -63,8 +63,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Words and five-word shingles in DuckDB; texts of one to four words have one shingle.
 _SHINGLES = """
-words AS (SELECT id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), x -> x <> '') AS w FROM {table}),
-shingles AS (SELECT id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+words AS (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {table}),
+shingles AS (SELECT id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
   WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS s FROM words)"""
 
 OP1_SQL = f"""
