@@ -16,7 +16,7 @@ WORD = re.compile(r"\w+")
 #: Distinct words whose hashes a task keeps; the cache is emptied beyond that, so its memory is bounded.
 CACHED_WORDS = 500_000
 #: Characters of text that a task works on at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: log2 of the bits of a key filter: 2 MB, whatever the number of keys.
 FILTER_BITS = 24
 
