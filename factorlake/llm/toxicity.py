@@ -159,9 +159,10 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[dict
         made = [features(t, automaton) for t in texts]
         return {"y": ids, "a": [a for a, _ in made], "b": [b for _, b in made]}
 
-    rows = common.map_texts(sample.select((F.col("toxic") > 0).cast("long").alias("doc_id"), "text"), work, "y long, a double, b double").orderBy("y", "a", "b").toArrow()  # bounded by the sample
+    rows = common.map_texts(sample.select((F.col("toxic") > 0).cast("long").alias("doc_id"), "text"), work, "y long, a double, b double").toArrow()  # bounded by the sample
     x = np.column_stack([rows["a"].to_numpy(), rows["b"].to_numpy()])
-    return lexicon, exceptions, fit_curve(x, rows["y"].to_numpy().astype(float))
+    order = np.lexsort([x[:, 0], x[:, 1], rows["y"].to_numpy()])  # the same sums in any order of arrival
+    return lexicon, exceptions, fit_curve(x[order], rows["y"].to_numpy()[order].astype(float))
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], exceptions: list[str], curve: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
