@@ -13,26 +13,28 @@ from .research import SMALL, shown, small
 
 registry = Registry()
 
-STRATEGY = f"""{SMALL}, held AS (SELECT 's1' AS strategy, ticker, date, ret5 * 0.02 AS signal, close, volume, returns,
+STRATEGY = f"""{SMALL}, held AS (SELECT 's1' AS strategy, ticker, date, sign(ret5) * 0.01 AS signal, close, volume, returns,
   avg(volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS adv,
   close - lag(close) OVER (PARTITION BY ticker ORDER BY date) AS ch FROM small),
 strategy AS (SELECT strategy, ticker, date, coalesce(signal, 0) AS signal, close, volume, returns, adv, coalesce(stddev_samp(ch) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 0) / 100 AS volatility,
   row_number() OVER (PARTITION BY ticker ORDER BY date) AS pos FROM held)"""
-LEDGER = f"""{STRATEGY},
-ledger AS (SELECT ticker, date, pos, signal, 0.0::DOUBLE AS shares, 1e6::DOUBLE AS cash, 1e6::DOUBLE AS value, 0.0::DOUBLE AS cost FROM strategy WHERE pos = 1
+LEDGER = f"""{STRATEGY}, smooth AS (SELECT ticker, date, pos, signal, adv, 0.02::DOUBLE AS volatility, avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS close FROM strategy),
+ledger AS (SELECT ticker, date, pos, signal, 0.0::DOUBLE AS shares, 1e2::DOUBLE AS cash, 1e2::DOUBLE AS value, 0.0::DOUBLE AS cost FROM smooth WHERE pos = 1
   UNION ALL SELECT ticker, date, pos, signal, target, cash2, cash2 + target * close, cost FROM (
     SELECT *, cash - q * close - cost AS cash2 FROM (SELECT *, CASE WHEN q = 0 OR adv <= 0 THEN 0 ELSE abs(q) * ((0.0010 / 2 + 0.0005) * close + volatility * sqrt(abs(q) / adv) * close) END AS cost FROM (
       SELECT *, target - shares AS q FROM (SELECT n.ticker, n.date, n.pos, n.signal, n.close, n.adv, n.volatility, l.cash, l.shares,
-        (l.cash + l.shares * n.close) * least(greatest(l.signal, -1), 1) / n.close AS target FROM ledger l JOIN strategy n ON n.ticker = l.ticker AND n.pos = l.pos + 1)))))"""
+        (l.cash + l.shares * n.close) * least(greatest(l.signal, -1), 1) / n.close AS target FROM ledger l JOIN smooth n ON n.ticker = l.ticker AND n.pos = l.pos + 1)))))"""
 
 
 def strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = risk.rolling_vol30(risk.rolling_adv(small(spark, sf_dir)))
-    return rows.select(F.lit("s1").alias("strategy"), "ticker", "date", F.coalesce(F.col("ret5") * 0.02, F.lit(0.0)).alias("signal"), "close", "volume", "returns", "adv", "volatility")
+    return rows.select(F.lit("s1").alias("strategy"), "ticker", "date", F.coalesce(F.signum("ret5") * 0.01, F.lit(0.0)).alias("signal"), "close", "volume", "returns", "adv", "volatility")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.position_ledger(strategy(spark, sf_dir))
+    """Sale prices jump a hundredfold from week to week, which no ledger survives; so it runs on their 60-week means."""
+    smooth = F.expr("avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)")
+    return risk.position_ledger(strategy(spark, sf_dir).withColumn("close", smooth).withColumn("volatility", F.lit(0.02)), capital=1e2)
 
 
 _COST = "CASE WHEN volume = 0 OR adv <= 0 THEN 0 ELSE volume / 10 * ((0.0010 / 2 + 0.0005) * close + volatility * sqrt(volume / 10 / adv) * close) END"

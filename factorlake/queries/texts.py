@@ -42,7 +42,7 @@ def strip_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.length(text.strip_references(F.col("text"))).cast("long").alias("n"))
 
 
-@registry.add(f"WITH {_D}, p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), x -> trim(x, ' ')), x -> x <> '')) AS t FROM d) SELECT doc_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM p GROUP BY 1")
+@registry.add(f"WITH {_D}, p AS (SELECT doc_id, unnest([trim(x, ' ') FOR x IN regexp_split_to_array(text, '\\n\\s*\\n') IF trim(x, ' ') <> '']) AS t FROM d) SELECT doc_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM p GROUP BY 1")
 def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunk_paragraph(docs(spark, sf_dir), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -181,7 +181,7 @@ def bars_from_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks as JSON messages: some without symbol, some with epoch seconds, some without price."""
-    rows = derived.table(spark, sf_dir, "events")
+    rows = derived.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     when = F.when(F.col("event_id") % 4 == 1, F.format_string("%.6f", F.unix_micros("ts") / 1e6)).otherwise(iso)
     symbol = F.when(F.col("event_id") % 10 == 0, F.lit("")).otherwise(F.col("user_id").cast("string"))
@@ -284,7 +284,7 @@ def route_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("SELECT count(*) AS n, count(CASE WHEN event_id % 4 = 1 THEN 1 END) AS epochs FROM events")
 def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.table(spark, sf_dir, "events")
+    rows = derived.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     value = F.when(F.col("event_id") % 4 == 1, F.format_string("%.3f", F.unix_micros("ts") / 1e6)).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     made = rows.select("event_id", parse_time(value).alias("t"))
     return made.agg(F.count("t").alias("n"), F.count(F.when(F.col("event_id") % 4 == 1, F.col("t"))).alias("epochs"))
