@@ -6,19 +6,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("ticker").orderBy("date")
+def by_date():
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def regime_features(panel: DataFrame, n: int = 20) -> DataFrame:
     """(ticker, date, ret, vol): returns and the population deviation of the n before; rows with fewer go."""
-    before = W.rowsBetween(-n, -1)
+    before = by_date().rowsBetween(-n, -1)
     rows = panel.where("returns is not null").select("ticker", "date", F.col("returns").alias("ret"), F.stddev_pop("returns").over(before).alias("vol"), F.count("returns").over(before).alias("k"))
     return rows.where(F.col("k") == n).drop("k")
 
 
 def regime_rule(panel: DataFrame, n: int = 20) -> DataFrame:
     """(ticker, date, regime) of every date by its last n returns: high_vol, bear or bull; bull with fewer than five."""
-    last = W.rowsBetween(-(n - 1), 0)
+    last = by_date().rowsBetween(-(n - 1), 0)
     rows = panel.where("returns is not null").select("ticker", "date", F.stddev_pop("returns").over(last).alias("s"), F.avg("returns").over(last).alias("m"), F.count("returns").over(last).alias("k"))
     regime = F.when(F.col("k") < 5, "bull").when(F.col("s") * F.sqrt(F.lit(252.0)) > 0.25, "high_vol").when(F.col("m") < -0.0005, "bear").otherwise("bull")
     return rows.select("ticker", "date", regime.alias("regime"))
@@ -72,15 +73,15 @@ def cusum(series: DataFrame, drift: float = 0.5, threshold: float = 3.0) -> Data
 
 def dl_feature_matrix(panel: DataFrame) -> DataFrame:
     """(ticker, date, signal, ret, log_change, vol): inputs of sequence models; firsts are 0."""
-    prev = F.lag("close").over(W)
-    last = W.rowsBetween(-19, 0)
+    prev = F.lag("close").over(by_date())
+    last = by_date().rowsBetween(-19, 0)
     vol = F.when(F.count("returns").over(last) == 20, F.stddev_pop("returns").over(last)).otherwise(0.0)
     return panel.select("ticker", "date", "signal", F.coalesce("returns", F.lit(0.0)).alias("ret"), F.coalesce(F.log(F.col("close") / F.nullif(prev, F.lit(0.0))), F.lit(0.0)).alias("log_change"), vol.alias("vol"))
 
 
 def sliding_sequences(matrix: DataFrame, columns: list[str], target: str, lookback: int) -> DataFrame:
     """(ticker, date, x, y): the ``lookback`` rows before each date as an array of structs, and its target."""
-    before = W.rowsBetween(-lookback, -1)
+    before = by_date().rowsBetween(-lookback, -1)
     rows = matrix.select("ticker", "date", F.collect_list(F.struct(*columns)).over(before).alias("x"), F.col(target).alias("y"))
     return rows.where(F.size("x") == lookback)
 
@@ -94,7 +95,7 @@ def forecast_drift(series: DataFrame, horizons: list[int]) -> DataFrame:
 
 def forecast_ar1(series: DataFrame, horizons: list[int]) -> DataFrame:
     """(ticker, horizon, forecast): last times the lag-one correlation to the power h; a correlation that is undefined is 0."""
-    rows = series.where("value is not null").withColumn("before", F.lag("value").over(W))
+    rows = series.where("value is not null").withColumn("before", F.lag("value").over(by_date()))
     both = F.when(F.col("before").isNotNull(), F.col("value"))
     rho = F.covar_samp("value", "before") / F.nullif(F.stddev_samp(both) * F.stddev_samp("before"), F.lit(0.0))
     ends = rows.groupBy("ticker").agg(F.max_by("value", "date").alias("last"), F.coalesce(rho, F.lit(0.0)).alias("rho"))
@@ -103,7 +104,7 @@ def forecast_ar1(series: DataFrame, horizons: list[int]) -> DataFrame:
 
 def forecast_ols(series: DataFrame, horizons: list[int]) -> DataFrame:
     """(ticker, horizon, forecast): least squares of a value on the one before, without intercept, applied to the last and scaled by sqrt(h)."""
-    rows = series.where("value is not null").withColumn("before", F.lag("value").over(W))
+    rows = series.where("value is not null").withColumn("before", F.lag("value").over(by_date()))
     beta = F.sum(F.col("value") * F.col("before")) / F.nullif(F.sum(F.when(F.col("before").isNotNull(), F.col("before") * F.col("before"))), F.lit(0.0))
     ends = rows.groupBy("ticker").agg(F.max_by("value", "date").alias("last"), F.coalesce(beta, F.lit(0.0)).alias("beta"))
     return ends.select("ticker", "last", "beta", F.explode(F.array(*[F.lit(x) for x in horizons])).alias("horizon")).select("ticker", "horizon", (F.col("beta") * F.col("last") * F.sqrt("horizon")).alias("forecast"))
