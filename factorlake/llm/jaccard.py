@@ -61,6 +61,10 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return [np.unique(values[starts[i] : starts[i + 1]]) for i in range(len(texts))]
 
 
+def set_key(values: np.ndarray) -> int:
+    return common.xxhash.xxh3_64_intdigest(values.tobytes()) - 2**63
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, set_key, size, bands): set_key is a hash of the whole shingle set; null bands and size 0 if there is none."""
 
@@ -73,15 +77,15 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in some])])
             for i, row in zip(some, band_hashes(flat, starts, bands, rows).view(np.int64), strict=True):
                 made[i] = row
-                keys[i] = common.xxhash.xxh3_64_intdigest(sets[i].tobytes()) - 2**63
+                keys[i] = set_key(sets[i])
         return {"doc_id": ids, "set_key": keys, "size": sizes, "bands": made}
 
     return common.map_texts(docs, work, "doc_id long, set_key long, size int, bands array<long>")
 
 
 def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(set_id, shingles) of the documents named in members(set_id)."""
-    wanted = common.key_filter(members.select(F.xxhash64("set_id").alias("h")), "h")
+    """(set_id, shingles) of the sets in members(set_id, doc_id), made from the text of that document."""
+    wanted = common.key_filter(members.select(F.xxhash64("doc_id").alias("h")), "h")
     hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +95,12 @@ def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 batch = batch.filter(pa.array(keep))
                 ids = batch.column("doc_id").to_pylist()
                 for lo, hi, texts in common.text_chunks(batch.column("text")):
-                    sets = [s.view(np.int64) for s in shingle_sets(texts, k)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["set_id", "shingles"])
+                    sets = shingle_sets(texts, k)
+                    arrays = [pa.array(ids[lo:hi], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "set_id", "shingles"])
 
-    made = hashed.mapInArrow(passes, "set_id long, shingles array<long>")
-    return made.join(members.select("set_id", "set_key"), "set_id")
+    made = hashed.mapInArrow(passes, "doc_id long, set_id long, shingles array<long>")
+    return made.join(members, ["doc_id", "set_id"]).dropDuplicates(["set_id"]).select("set_id", "shingles")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -124,9 +129,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def compare(ids: np.ndarray, weights: np.ndarray, sides: np.ndarray, buckets: list[np.ndarray], sets: list[np.ndarray], bucket: int, threshold: float, same: bool) -> tuple[np.ndarray, list]:
     """Links of a task's two blocks: copies linked to each member, and a spanning forest of the links."""
-    both = overlaps(sets)
-    size = np.array([len(s) for s in sets], dtype=np.float32)
-    linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-4
+    both = overlaps(sets).astype(np.float64)
+    size = np.array([len(s) for s in sets], dtype=np.float64)
+    linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
     np.fill_diagonal(linked, False)
     if not same:
         linked &= sides[:, None] != sides[None, :]
@@ -195,28 +200,28 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     docs = common.text_rows(docs, id_col, text_col)
     bands, rows = banding(threshold, recall)
     signed = common.cut(signatures(docs, k, bands, rows))
-    sets = signed.where("size > 0").groupBy("set_key").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"))
-    sets = common.cut(sets)
-    first = signed.where("size > 0").join(sets, "set_key").where("doc_id = set_id").dropDuplicates(["set_key"])
+    sets = common.cut(signed.where("size > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    first = signed.where("size > 0").join(sets, ["set_key", "doc_id"]).dropDuplicates(["set_key"]).withColumnRenamed("set_key", "set_id")
     found = first.select("set_id", "copies", F.explode("bands").alias("bucket"))
     by_bucket = found.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_id").alias("low"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark")).where("members > 1")
     kept = by_bucket.groupBy("members", "low", "mark").agg(F.min("bucket").alias("bucket"))  # same members, same pairs
     members = common.cut(found.join(kept.select("bucket", "members"), "bucket"))
     named = members.groupBy("set_id").agg(F.collect_list("bucket").alias("buckets"), F.first("copies").alias("copies"))
-    named = named.join(sets.select("set_id", "set_key").dropDuplicates(["set_id"]), "set_id")
-    shingled = member_sets(docs, named.select("set_id", "set_key"), k).dropDuplicates(["set_id"])
+    named = named.join(sets.select(F.col("set_key").alias("set_id"), "doc_id"), "set_id")
+    shingled = member_sets(docs, named.select("set_id", "doc_id"), k)
     dealt = members.select("set_id", "bucket", F.ceil(F.col("members") / block).cast("int").alias("blocks")).withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "set_id", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
     )
-    rows_of = dealt.join(named.join(shingled.select("set_id", "shingles"), "set_id").select("set_id", "copies", "buckets", "shingles"), "set_id")
+    rows_of = dealt.join(named.join(shingled, "set_id").select("set_id", "copies", "buckets", "shingles"), "set_id")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     blocks = rows_of.select("bucket", "i", "j", "set_id", "copies", "side", "buckets", "shingles").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     links = common.cut(verified(blocks, threshold))
     counts = links.where("peer is null").groupBy("set_id").agg(F.sum("links").alias("links"))
     classes = common.components(links.where("peer is not null").select(F.col("set_id").alias("a"), F.col("peer").alias("b")))
-    lookup = sets.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").join(counts, "set_id", "left")
-    lookup = lookup.select("set_key", F.coalesce("component", "set_id").alias("class_id"), (F.col("copies") - 1).alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = sets.join(classes.select(F.col("node").alias("set_key"), "component"), "set_key", "left").join(counts.withColumnRenamed("set_id", "set_key"), "set_key", "left")
+    joined = joined.select("set_key", F.coalesce("component", "set_key").alias("component"), "doc_id", (F.col("copies") - 1).alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    lookup = joined.drop("doc_id").join(joined.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").drop("component")
     # empty texts carry no key, so they don't meet in one task of the join
     keyed = signed.select("doc_id", F.when(F.col("size") > 0, F.col("set_key")).alias("set_key")).where("set_key is not null")
     empty = signed.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
@@ -226,7 +231,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without all but one document of each class: the one with the smallest doc_id stays.
 
-    Rows that repeat a doc_id are copies of each other, so only one of them stays; documents without words all stay.
+    Of rows that repeat a doc_id and a text one stays; so do documents without words.
     """
     classes = jaccard_classes(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(classes, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(classes, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])

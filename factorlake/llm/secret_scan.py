@@ -41,6 +41,8 @@ N = len(SYMBOLS) + 1  # 0: any other character
 CLASS = np.zeros(256, dtype=np.int64)
 CLASS[[ord(c) for c in SYMBOLS]] = np.arange(1, N)
 PRIOR = 1e-6
+#: Pseudo-counts of a row of the models.
+BACKOFF = 20
 
 
 def rule_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -81,12 +83,18 @@ def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         label, pair = np.nonzero(counts)
         return {"label": label, "pair": pair, "n": counts[label, pair]}
 
-    counts = np.ones((2, N * N))  # add one
+    counts = np.zeros((2, N * N))
     for row in common.map_texts(docs, work, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # at most 2 * N * N rows
         counts[row["label"], row["pair"]] += max(row["n"], 0)
-    counts = counts.reshape(2, N, N)
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
-    return logs[0], logs[1]
+    return log_probabilities(counts.reshape(2, N, N))
+
+
+def log_probabilities(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions backed off to single symbols. Half of the random model is uniform, as labelled strings don't use every alphabet,
+    and a fiftieth of the ordinary one, so a symbol that the corpus lacks (an underscore) isn't proof of a secret."""
+    single = (counts.sum(axis=1, keepdims=True) + 1) / (counts.sum(axis=(1, 2), keepdims=True) + N)
+    p = (counts + BACKOFF * single) / (counts.sum(axis=2, keepdims=True) + BACKOFF)
+    return np.log(0.5 * p[0] + 0.5 / N), np.log(0.98 * p[1] + 0.02 / N)
 
 
 def ratio(token: str, gain: np.ndarray) -> float:

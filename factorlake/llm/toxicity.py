@@ -29,10 +29,10 @@ SAMPLE = 10_000
 LEXICON = 2_000
 #: Look-alike letters, and digits and symbols used for letters.
 HOMOGLYPHS = {"а": "a", "ɑ": "a", "α": "a", "в": "b", "ϲ": "c", "с": "c", "ԁ": "d", "е": "e", "ҽ": "e", "ɡ": "g", "һ": "h", "і": "i", "ι": "i", "ı": "i", "ј": "j", "к": "k", "κ": "k", "ӏ": "l", "м": "m", "п": "n", "о": "o", "ο": "o", "р": "p", "ρ": "p", "ѕ": "s", "т": "t", "τ": "t", "υ": "u", "ѵ": "v", "ν": "v", "ԝ": "w", "х": "x", "χ": "x", "у": "y", "γ": "y"}
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
+SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES)
 FOLD_LETTERS = str.maketrans(HOMOGLYPHS)
-MIXED = re.compile(r"[^\W\d_]+(?:[0134578@$!|]+[^\W\d_]+)+|[134578@$|]+[^\W\d_]+")
+MIXED = re.compile(r"[0134578@$]+[^\W\d_]+(?:[0134578@$!]+[^\W\d_]+)*|[^\W\d_]+(?:[0134578@$!]+[^\W\d_]+)+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
