@@ -66,7 +66,7 @@ def cusum(series: DataFrame, drift: float = 0.5, threshold: float = 3.0) -> Data
                     out["date"].append(rows.date.iloc[at])
                     out["side"].append("up" if up > threshold else "down")
                     up = down = 0.0
-        return pd.DataFrame(out, columns=["ticker", "date", "side"])
+        return pd.DataFrame(out, columns=["ticker", "date", "side"]).astype({"ticker": str, "date": "datetime64[ns]", "side": str})
 
     return series.select("ticker", F.col("date").cast("timestamp").alias("date"), "value").groupBy("ticker").applyInPandas(fold, "ticker string, date timestamp, side string")
 

@@ -79,7 +79,7 @@ def test_volatility_and_volume(bars, frames):
     close_to(wide(vol, "var_5pct_20d"), ret.rolling(20, min_periods=10).quantile(0.05).where(held))
     beta = ret.apply(lambda c: c.rolling(60, min_periods=30).cov(market)).div(market.rolling(60, min_periods=30).var() + 1e-10, axis=0)
     close_to(wide(vol, "beta_60d"), beta.where(held))
-    close_to(wide(vol, "vol_rank_20d"), (ret.rolling(20, min_periods=10).std() * np.sqrt(252)).where(held).rank(axis=1, pct=True))
+    close_to(wide(vol, "vol_rank_20d"), (ret.rolling(20, min_periods=10).std() * np.sqrt(252)).rank(axis=1, pct=True).where(held))
     amount = matrix.volume(bars)[0].cache()
     close_to(wide(amount, "abnorm_vol_20d"), (volume / (volume.rolling(20, min_periods=10).mean() + 1e-8)).where(held))
     close_to(wide(amount, "price_vol_corr_60d"), ret.rolling(60, min_periods=30).corr(volume / volume.shift(1) - 1).where(held))
