@@ -86,7 +86,33 @@ def features_base_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.digest(*matrix.base_factory(derived.bars(spark, sf_dir)))
 
 
-@registry.add()
+_FAMILIES = {
+    "momentum": ("with_emas", families.momentum, "adj_close IS NOT NULL"), "val": ("asof_panel", families.value, "adj_close IS NOT NULL"), "qual": ("reports", families.quality, "held"), "volat": ("dense", families.volatility, "adj_close IS NOT NULL"),
+    "vol": ("dense", families.volume, "adj_close IS NOT NULL"), "tech": ("dense", families.technical, "adj_close IS NOT NULL"), "alt": ("with_home", families.alternative, "adj_close IS NOT NULL"),
+}
+
+
+def whole_sql() -> tuple[str, list[str], list[str]]:
+    """CTEs up to ``composites`` (every feature by (date, ticker)), the names of the families' features and of the composites."""
+    parts, taken = [], []
+    with dialect("duckdb"):
+        for cte, (source, family, kept) in _FAMILIES.items():
+            layers, names = family()
+            own = [n for n in names if n not in taken]
+            taken += own
+            parts.append(f"f_{cte} AS (SELECT date, ticker, {', '.join(own)} FROM {layers_sql(source, layers)} WHERE {kept})")
+        layers, more = families.composite([c for c in taken if c.startswith(("rank_", "zscore_"))])
+        body = layers_sql("matrix", layers)
+    joined = f"matrix AS (SELECT * FROM f_momentum {' '.join(f'FULL JOIN f_{c} USING (date, ticker)' for c in list(_FAMILIES)[1:])})"
+    more = [m for m in more if m not in taken]
+    ctes = f"{BARS}, {GRID}, {EMAS}, {FUNDAMENTALS}, {ASOF}, {HOME}, {REPORTS}, {', '.join(parts)}, {joined}, composites AS (SELECT * FROM {body})"
+    return ctes, taken, more
+
+
+_CTES, _NAMES, _COMPOSITES = whole_sql()
+
+
+@registry.add(f"WITH RECURSIVE {_CTES}, n AS (SELECT {', '.join(f'count({n}) AS {n}' for n in [*_NAMES, *_COMPOSITES])} FROM composites) SELECT feature, n FROM (UNPIVOT n ON {', '.join([*_NAMES, *_COMPOSITES])} INTO NAME feature VALUE n)")
 def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(feature, n): values of every feature of the whole matrix."""
     whole, names = matrix.all_features(derived.bars(spark, sf_dir), derived.fundamentals(spark, sf_dir))
@@ -94,11 +120,11 @@ def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.unpivot([], names, "feature", "n")
 
 
-@registry.add()
+@registry.add(f"""WITH RECURSIVE {_CTES}, features AS (SELECT ticker, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in _COMPOSITES)} FROM composites), long AS (UNPIVOT features ON {', '.join(_COMPOSITES)} INTO NAME feature VALUE value)
+  SELECT feature, ticker, count(*) AS n, {six('min(value)', 'lo')}, {six('max(value)', 'hi')}, {six('avg(value)', 'mean')} FROM long GROUP BY 1, 2""")
 def features_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, names = matrix.all_features(derived.bars(spark, sf_dir), derived.fundamentals(spark, sf_dir))
-    with_names = set(families.composite([c for c in names if c.startswith(("rank_", "zscore_"))])[1]) - {"value_quality_combo"}
-    return matrix.digest(whole, [n for n in names if n in with_names])
+    return matrix.digest(whole, [n for n in names if n in _COMPOSITES])
 
 
 @registry.add(f"WITH {BARS} SELECT date, ticker, {six('open', 'open')}, {six('high', 'high')}, {six('low', 'low')}, {six('close', 'close')}, volume FROM bars")
