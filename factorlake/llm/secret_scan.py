@@ -1,7 +1,7 @@
 """Secret scans: fixed rules, and two character Markov models compared by log-likelihood ratio.
 
 The rules (assignments, access keys, long hexadecimal strings) label the samples: what they match is a sample of random
-strings, all other runs of token characters are samples of ordinary identifiers. A pass over all texts counts character
+strings, all other runs of token characters, but for the candidates below, are samples of ordinary identifiers. A pass over all texts counts character
 transitions of both kinds in Spark (a fixed number of rows for each chunk); the models are two tables of 68 x 68
 log-probabilities. A second pass scores runs of 16 or more token characters with a letter and a digit: a run whose
 log-likelihood ratio outweighs a prior of one secret in a million tokens is a span of kind ``random``.
@@ -14,6 +14,7 @@ repeated rows are scanned one by one.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from math import log
 
 import numpy as np
@@ -68,17 +69,27 @@ def transitions(text: str) -> np.ndarray:
     return pairs[pairs > 0]
 
 
+def candidates(text: str, taken: list[tuple]) -> Iterator[re.Match]:
+    """Runs of token characters with a letter and a digit that touch no span already found (start, kind's place, end, ...)."""
+    for m in TOKEN.finditer(text):
+        token, (a, b) = m[0], m.span()
+        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(s[0] < b and a < s[2] for s in taken):
+            yield m
+
+
 def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of the next symbol (random strings, ordinary identifiers), counted over all texts."""
 
     def work(ids: list, texts: list[str]) -> dict:
         counts = np.zeros((2, N * N), dtype=np.int64)
-        rules, _ = worth_a_scan(texts)
-        for text, some in zip(texts, rules, strict=True):
-            for secret in {s for *_, s in rule_spans(text)} if some else ():
+        for text, rules, digits in zip(texts, *worth_a_scan(texts), strict=True):
+            spans = rule_spans(text) if rules else []
+            for secret in {s for *_, s in spans}:
                 pairs = np.bincount(transitions(secret), minlength=N * N)
                 counts[0] += pairs
                 counts[1] -= pairs
+            for m in candidates(text, spans) if digits else ():  # unlabelled, so a sample of neither
+                counts[1] -= np.bincount(transitions(m[0]), minlength=N * N)
         counts[1] += np.bincount(transitions("\n".join(["", *texts, ""])), minlength=N * N)
         label, pair = np.nonzero(counts)
         return {"label": label, "pair": pair, "n": counts[label, pair]}
@@ -105,13 +116,7 @@ def ratio(token: str, gain: np.ndarray) -> float:
 def find(text: str, gain: np.ndarray, rules: bool = True, digits: bool = True) -> list[tuple[int, int, int]]:
     """All spans of a text (start, kind's place, end), sorted."""
     spans = [(a, k, b) for a, k, b, _ in rule_spans(text)] if rules else []
-    taken, least = spans.copy(), -log(PRIOR)
-    for m in TOKEN.finditer(text) if digits else ():
-        token, (a, b) = m[0], m.span()
-        if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token) or any(x < b and a < y for x, _, y in taken):
-            continue
-        if ratio(token, gain) >= least:
-            spans.append((a, 3, b))
+    spans += [(m.start(), 3, m.end()) for m in candidates(text, spans) if ratio(m[0], gain) >= -log(PRIOR)] if digits else []
     return sorted(spans)
 
 
