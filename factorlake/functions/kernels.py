@@ -7,8 +7,10 @@ computed once and named. All time-series kernels share one window specification,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from hashlib import md5
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,19 @@ def spark() -> bool:
     return _names["dialect"] == "spark"
 
 
+#: Window expressions by the name of the column that holds them while a layer is computed.
+_windows: dict[str, str] = {}
+
+
+def over(sql: str) -> str:
+    """A window expression that ``apply_layers`` computes once, however often a layer uses it."""
+    if not spark():
+        return sql
+    name = f"__w{md5(sql.encode()).hexdigest()[:16]}"
+    _windows[name] = sql
+    return name
+
+
 def lag(x: str, n: int = 1) -> str:
     return f"lag({x}, {n}) OVER ({SERIES})"
 
@@ -56,44 +71,67 @@ def frame(n: int) -> str:
     return f"OVER ({SERIES} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
+#: From this window on, sums are differences of running sums: a sliding frame costs n steps a row, a growing one a single step.
+LONG = 50
+
+
+def part_sum(x: str, n: int, agg: str = "sum") -> str:
+    """Sum (or count) of the last n dates as the running sum less the one n dates before."""
+    start = f"{agg}({x}) OVER ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return f"({over(f'{start} CURRENT ROW)')} - coalesce({over(f'{start} {n} PRECEDING)')}, 0))"
+
+
+def spread_of(sxy: str, sx: str, sy: str, k: str) -> str:
+    """Sample (co)variance from sums; what is within rounding of the sums is 0."""
+    whole = f"({sxy} - {sx} * {sy} / {k})"
+    return f"CASE WHEN abs{whole} <= 1e-11 * abs({sxy}) THEN 0.0D ELSE {whole} / ({k} - 1) END"
+
+
 def roll(agg: str, x: str, n: int, least: int | None = None) -> str:
     """Rolling aggregate over n dates, null with fewer than ``least`` values (n // 2 if not given)."""
     least = n // 2 if least is None else least
-    return f"CASE WHEN count({x}) {frame(n)} >= {least} THEN {agg}({x}) {frame(n)} END"
+    if spark() and n >= LONG and agg in ("sum", "avg", "stddev_samp", "var_samp"):
+        k, total = part_sum(x, n, "count"), part_sum(x, n)
+        made = {"sum": total, "avg": f"{total} / {k}"}.get(agg) or spread_of(part_sum(f"({x} * {x})", n), total, total, k)
+        return f"CASE WHEN {k} >= {max(least, 2 if '_' in agg else 1)} THEN {f'sqrt(greatest({made}, 0.0D))' if agg == 'stddev_samp' else made} END"
+    return f"CASE WHEN {over(f'count({x}) {frame(n)}')} >= {least} THEN {over(f'{agg}({x}) {frame(n)}')} END"
 
 
 def roll_quantile(x: str, p: float, n: int, least: int) -> str:
     """Rolling quantile with linear interpolation."""
-    return f"CASE WHEN count({x}) {frame(n)} >= {least} THEN percentile({x}, {p}D) {frame(n)} END"
+    return f"CASE WHEN {over(f'count({x}) {frame(n)}')} >= {least} THEN {over(f'percentile({x}, {p}D) {frame(n)}')} END"
 
 
 def roll_pair(agg: str, y: str, x: str, n: int, least: int) -> str:
     """Rolling aggregate of two columns (covar_samp, regr_slope) over the rows that have both."""
     both = f"CASE WHEN {y} IS NOT NULL THEN {x} END"
-    return f"CASE WHEN count({both}) {frame(n)} >= {least} THEN {agg}({y}, {x}) {frame(n)} END"
+    if spark() and n >= LONG and agg == "covar_samp":
+        other, k = f"CASE WHEN {x} IS NOT NULL THEN {y} END", part_sum(both, n, "count")
+        return f"CASE WHEN {k} >= {max(least, 2)} THEN {spread_of(part_sum(f'({x} * {y})', n), part_sum(both, n), part_sum(other, n), k)} END"
+    return f"CASE WHEN {over(f'count({both}) {frame(n)}')} >= {least} THEN {over(f'{agg}({y}, {x}) {frame(n)}')} END"
 
 
 def roll_corr(y: str, x: str, n: int, least: int) -> str:
     """Rolling correlation; null if either side doesn't vary."""
     a, b = f"(CASE WHEN {x} IS NOT NULL THEN {y} END)", f"(CASE WHEN {y} IS NOT NULL THEN {x} END)"
-    spread = f"stddev_samp({a}) {frame(n)} * stddev_samp({b}) {frame(n)}"
-    return f"CASE WHEN count({b}) {frame(n)} >= {least} THEN covar_samp({y}, {x}) {frame(n)} / nullif({spread}, 0) END"
+    spread = f"{over(f'stddev_samp({a}) {frame(n)}')} * {over(f'stddev_samp({b}) {frame(n)}')}"
+    return f"CASE WHEN {over(f'count({b}) {frame(n)}')} >= {least} THEN {over(f'covar_samp({y}, {x}) {frame(n)}')} / nullif({spread}, 0) END"
 
 
 def skew(x: str, n: int, least: int) -> str:
     """Bias-corrected sample skewness; needs three values."""
-    k = f"(count({x}) {frame(n)})"
+    k = f"({over(f'count({x}) {frame(n)}')})"
     if not spark():  # sample skewness there
         return f"CASE WHEN {k} >= {max(least, 3)} THEN skewness({x}) {frame(n)} END"
-    return f"CASE WHEN {k} >= {max(least, 3)} THEN sqrt({k} * ({k} - 1.0D)) / ({k} - 2) * skewness({x}) {frame(n)} END"
+    return f"CASE WHEN {k} >= {max(least, 3)} THEN sqrt({k} * ({k} - 1.0D)) / ({k} - 2) * {over(f'skewness({x}) {frame(n)}')} END"
 
 
 def kurt(x: str, n: int, least: int) -> str:
     """Bias-corrected sample excess kurtosis; needs four values."""
-    k = f"(count({x}) {frame(n)})"
+    k = f"({over(f'count({x}) {frame(n)}')})"
     if not spark():
         return f"CASE WHEN {k} >= {max(least, 4)} THEN kurtosis({x}) {frame(n)} END"
-    return f"CASE WHEN {k} >= {max(least, 4)} THEN ({k} - 1.0D) / (({k} - 2.0D) * ({k} - 3.0D)) * (({k} + 1) * (kurtosis({x}) {frame(n)}) + 6) END"
+    return f"CASE WHEN {k} >= {max(least, 4)} THEN ({k} - 1.0D) / (({k} - 2.0D) * ({k} - 3.0D)) * (({k} + 1) * ({over(f'kurtosis({x}) {frame(n)}')}) + 6) END"
 
 
 def running(agg: str, x: str) -> str:
@@ -167,15 +205,17 @@ def high_clip(x: str, high: str = "0.0D") -> str:
 
 
 def apply_layers(df: DataFrame, layers: list[dict[str, str]]) -> DataFrame:
+    """df with the columns of all layers."""
     for layer in layers:
-        df = df.select("*", *[F.expr(sql).alias(name) for name, sql in layer.items()])
+        shared = list(dict.fromkeys(re.findall(r"__w[0-9a-f]{16}", " ".join(layer.values()))))
+        if shared:
+            df = df.select("*", *[F.expr(_windows[name]).alias(name) for name in shared])
+        df = df.select("*", *[F.expr(sql).alias(name) for name, sql in layer.items()]).drop(*shared)
     return df
 
 
 def to_duckdb(sql: str) -> str:
     """Literals and function names that differ; what differs in more is written for the dialect from the start."""
-    import re
-
     return re.sub(r"\bpercentile\(", "quantile_cont(", re.sub(r"(\d)D\b", r"\1", sql))
 
 

@@ -38,8 +38,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def six_digits(x: Column) -> Column:
-    """x to six significant digits, so engines that sum in another order agree; the factor keeps exact halves from being ties."""
-    return F.when(x.isNotNull(), F.format_string("%.5e", x.cast("double") * F.lit(1.0000000001) + F.lit(0.0)).cast("double"))
+    """x to six significant digits, so engines that sum in another order agree; the factor keeps exact halves from being ties, and what is below 1e-12 is 0."""
+    return F.when(F.abs(x) < 1e-12, F.lit(0.0)).when(x.isNotNull(), F.format_string("%.5e", x.cast("double") * F.lit(1.0000000001) + F.lit(0.0)).cast("double"))
 
 
 def parse_time(value: Column) -> Column:

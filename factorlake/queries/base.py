@@ -60,4 +60,4 @@ asof_panel AS (SELECT * EXCLUDE (is_row) FROM known WHERE is_row)"""
 
 
 def six(x: str, name: str) -> str:
-    return f"CAST(printf('%.5e', CAST({x} AS DOUBLE) * CAST(1.0000000001 AS DOUBLE) + 0.0) AS DOUBLE) AS {name}"
+    return f"CASE WHEN abs({x}) < 1e-12 THEN 0 ELSE CAST(printf('%.5e', CAST({x} AS DOUBLE) * CAST(1.0000000001 AS DOUBLE) + 0.0) AS DOUBLE) END AS {name}"

@@ -157,17 +157,19 @@ def brinson_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add()
 def bl_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posterior means by sector of quarter: universes of the first four tickers of each sector, one view that the first beats the second."""
+    """Posterior means by sector: the tickers of a sector are a universe, with one view that the first beats the second."""
     panel = small(spark, sf_dir).where("returns is not null").join(derived.fundamentals(spark, sf_dir).select("ticker", F.col("sector").alias("universe")).distinct(), "ticker")
     from pyspark.sql import Window
 
-    tickers = panel.select("universe", "ticker").distinct().withColumn("k", F.row_number().over(Window.partitionBy("universe").orderBy("ticker"))).where("k <= 4")
+    tickers = panel.select("universe", "ticker").distinct().withColumn("k", F.row_number().over(Window.partitionBy("universe").orderBy("ticker")))
     rows = panel.join(tickers, ["universe", "ticker"]).select("universe", "k", "ticker", "date", "returns")
     cov = rows.alias("a").join(rows.alias("b"), (F.col("a.universe") == F.col("b.universe")) & (F.col("a.date") == F.col("b.date"))).groupBy(F.col("a.universe").alias("universe"), F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.coalesce(F.covar_samp("a.returns", "b.returns"), F.lit(0.0)).alias("c"))
     lines = cov.groupBy("universe", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))), lambda x: x["c"]).alias("line"))
     sigma = lines.groupBy("universe").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("sigma"))
     pi = rows.groupBy("universe", "k", "ticker").agg(F.avg("returns").alias("m")).groupBy("universe").agg(F.array_sort(F.collect_list(F.struct("k", "ticker", "m"))).alias("x"))
-    views = pi.join(sigma, "universe").where("size(x) = 4 and size(sigma) = 4").select("universe", F.col("x.ticker").alias("tickers"), F.col("x.m").alias("pi"), "sigma", F.array(F.array(F.lit(1.0), F.lit(-1.0), F.lit(0.0), F.lit(0.0))).alias("p"), F.array(F.lit(0.01)).alias("q"), F.array(F.lit(0.02)).alias("omega"))
+    view = F.concat(F.array(F.lit(1.0), F.lit(-1.0)), F.array_repeat(F.lit(0.0), F.size("x") - 2))
+    whole = F.size("sigma") == F.size("x")
+    views = pi.join(sigma, "universe").where((F.size("x") >= 2) & whole & F.forall("sigma", lambda line: F.size(line) == F.size("x"))).select("universe", F.col("x.ticker").alias("tickers"), F.col("x.m").alias("pi"), "sigma", F.array(view).alias("p"), F.array(F.lit(0.01)).alias("q"), F.array(F.lit(0.02)).alias("omega"))
     return shown(risk.bl_posterior(views), "mu")
 
 
