@@ -110,7 +110,7 @@ def subset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.agg(F.countDistinct("ticker").alias("n")).withColumn("subset", F.lit(P.subset_check(small(spark, sf_dir), panel)))
 
 
-@registry.add(f"WITH {SMALL}, i AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, fwd)) AS importance FROM small WHERE fwd IS NOT NULL" for f in FEATURES) + f") SELECT feature, {six('importance', 'importance')} FROM i ORDER BY importance DESC, feature LIMIT 2")
+@registry.add(f"WITH {SMALL}, i AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, fwd)) AS importance FROM small WHERE fwd IS NOT NULL" for f in FEATURES) + f") SELECT * FROM (SELECT feature, {six('importance', 'importance')} FROM i) ORDER BY importance DESC, feature LIMIT 2")
 def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = shown(models.linear_importance(small(spark, sf_dir), FEATURES, "fwd"), "importance")
     return models.top_features(made, 2)

@@ -33,6 +33,9 @@ series AS (SELECT feature, date, CASE WHEN count(*) >= 3 AND var_samp(rv) > 1e-1
 scores AS (SELECT feature, coalesce(avg(ic), 0) AS ic, CASE WHEN stddev_samp(ic) > 1e-12 THEN avg(ic) / stddev_samp(ic) ELSE 0 END AS icir FROM series GROUP BY 1)"""
 
 
+ROUNDED = f"(SELECT feature, {six('ic', 'ic')}, {six('icir', 'icir')} FROM scores)"
+
+
 def small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_layers(matrix.dense(derived.bars(spark, sf_dir)), [_layer()]).where("adj_close is not null")
 
@@ -50,6 +53,11 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ic_icir(series(spark, sf_dir))
 
 
+def rounded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to six digits, so features that are scaled copies of each other tie and rank by name."""
+    return shown(scores(spark, sf_dir), "ic", "icir")
+
+
 def shown(df: DataFrame, *numbers: str) -> DataFrame:
     return df.select(*[six_digits(F.col(c)).alias(c) if c in numbers else F.col(c) for c in df.columns])
 
@@ -130,14 +138,14 @@ def gate_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(R.gate_signal(scores(spark, sf_dir), 0.01, 0.05), "ic", "icir")
 
 
-@registry.add(f"WITH {LONG} SELECT CAST(row_number() OVER (ORDER BY abs(icir) DESC, feature) AS INTEGER) AS rank, feature AS signal_name, round(ic, 5) AS ic, round(icir, 5) AS icir FROM scores")
+@registry.add(f"WITH {LONG} SELECT CAST(row_number() OVER (ORDER BY abs(icir) DESC, feature) AS INTEGER) AS rank, feature AS signal_name, round(ic, 5) AS ic, round(icir, 5) AS icir FROM {ROUNDED}")
 def ranking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.ranking_report(scores(spark, sf_dir), 50)
+    return R.ranking_report(rounded_scores(spark, sf_dir), 50)
 
 
-@registry.add(f"WITH {LONG} SELECT feature, {six('icir', 'icir')} FROM scores ORDER BY abs(icir) DESC, feature LIMIT 2")
+@registry.add(f"WITH {LONG} SELECT feature, icir FROM {ROUNDED} ORDER BY abs(icir) DESC, feature LIMIT 2")
 def top_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(R.top_signals(scores(spark, sf_dir).select("feature", "icir"), 2), "icir")
+    return R.top_signals(rounded_scores(spark, sf_dir).select("feature", "icir"), 2)
 
 
 _PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
@@ -200,12 +208,12 @@ def impute_ffill_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(f"""WITH {LONG}, wanted AS (SELECT DISTINCT CASE WHEN event_type IS NULL THEN '' ELSE ' ' || upper(substr(event_type, 1, 1)) END AS name FROM events UNION SELECT 'RET20 ' UNION SELECT 'vol'),
-  c AS (SELECT name, feature, icir, CASE WHEN lower(trim(name)) = lower(feature) THEN 0 WHEN contains(lower(feature), lower(trim(name))) OR contains(lower(trim(name)), lower(feature)) THEN 1 ELSE 2 END AS kind FROM wanted, scores)
+  c AS (SELECT name, feature, icir, CASE WHEN lower(trim(name)) = lower(feature) THEN 0 WHEN contains(lower(feature), lower(trim(name))) OR contains(lower(trim(name)), lower(feature)) THEN 1 ELSE 2 END AS kind FROM wanted, {ROUNDED})
   SELECT name, feature FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY kind, abs(icir) DESC, feature) AS k FROM c) WHERE k = 1""")
 def match_feature_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = derived.table(spark, sf_dir, "events").select(F.coalesce(F.concat(F.lit(" "), F.upper(F.substring("event_type", 1, 1))), F.lit("")).alias("name"))
     wanted = first.unionByName(spark.createDataFrame([("RET20 ",), ("vol",)], "name string")).distinct()
-    return R.match_feature_name(wanted, scores(spark, sf_dir))
+    return R.match_feature_name(wanted, rounded_scores(spark, sf_dir))
 
 
 @registry.add(f"""WITH {BARS}, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM bars)), n AS (SELECT count(*) AS n FROM d),

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from factorlake import queries as library
@@ -22,7 +23,7 @@ def duck():
 
 
 def cell(x):
-    if x is None or x != x:
+    if pd.isna(x) is True or x is None:
         return "null"
     if isinstance(x, bool):
         return str(x)
