@@ -19,7 +19,7 @@ from factorlake.llm.common import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents that no language is near enough to go."""
     return langid.keep_identified(docs)
 
 

@@ -6,10 +6,15 @@ or the profile's length if the profile lacks it. The nearest language wins. N-gr
 of every training text, pre-aggregated for each chunk, and over the whole of every document to predict.
 
 Letters are taken case-folded, as UTF-16 units, so an n-gram and the row it belongs to fit in 64 bits and a chunk
-is counted by one sort.
+is counted by one sort. What is a letter is decided by code point: both halves of one beyond 16 bits count, those of an emoji don't.
+
+``keep_identified`` rejects by the distance. It learns from all labelled documents, scores them too, and asks of a document
+LEAST_SHARE of the median score that labelled documents of its nearest language have where that language is also
+their label, and more than 0 in any case, so texts in a script that no profile has go.
 
 Defined cases: null text and text without letters give ``und`` and score 0; ties go to the smaller n-gram and to the
-first language by name; without any labelled text every document is ``und``; repeated rows are predicted one by one.
+first language by name; without any labelled text every document is ``und``, and ``keep_identified``, which then has nothing
+to compare with, rejects texts without letters only; repeated rows are predicted one by one.
 """
 
 from __future__ import annotations
@@ -24,12 +29,27 @@ from . import common
 
 SEP, GRAM_BITS = np.uint64(0x20), np.uint64(48)
 UNKNOWN = "und"
+#: Fixed value: in sf0.1 labelled documents have 0.55 of the median score of their language or more, random letters 0.30 or less.
+LEAST_SHARE = 0.4
+SCORE_BINS = 1_000
 
 
 @lru_cache(maxsize=1)
 def letter_units() -> np.ndarray:
-    """Whether a UTF-16 unit is (half of) a letter."""
-    return np.array([0xD800 <= c <= 0xDFFF or chr(c).isalpha() for c in range(65_536)])
+    """Whether a UTF-16 unit is a letter by itself; halves of code points beyond 16 bits are not."""
+    return np.array([chr(c).isalpha() for c in range(65_536)])
+
+
+def letters_of(flat: np.ndarray) -> np.ndarray:
+    """Whether each UTF-16 unit is a letter, or half of one."""
+    letter = letter_units()[flat]
+    high = np.flatnonzero((flat[:-1] & 0xFC00) == 0xD800)
+    high = high[(flat[high + 1] & 0xFC00) == 0xDC00]
+    if len(high):
+        points, of = np.unique(0x10000 + ((flat[high].astype(np.int64) & 0x3FF) << 10) + (flat[high + 1] & 0x3FF), return_inverse=True)
+        high = high[np.array([chr(c).isalpha() for c in points])[of]]
+        letter[high] = letter[high + 1] = True
+    return letter
 
 
 def gram_counts(texts: list[str], longest: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,7 +57,7 @@ def gram_counts(texts: list[str], longest: int = 3) -> tuple[np.ndarray, np.ndar
     units = [np.frombuffer(f" {t.lower()} ".encode("utf-16-le", "surrogatepass"), dtype=np.uint16) for t in texts]
     row = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(u) for u in units])
     flat = np.concatenate(units)
-    letter = letter_units()[flat]
+    letter = letters_of(flat)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # a blank after each word, and one before the first
     keep[:-1] |= letter[1:]
@@ -144,18 +164,53 @@ def identify(docs: DataFrame, top: int = 300) -> DataFrame:
     return predict(docs, profiles, top).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0, top: int = 300) -> DataFrame:
-    """docs without those whose language is ``und`` or whose score is below ``least``; decided where a row is read."""
+def least_scores(docs: DataFrame, tables, top: int = 300) -> dict[str, float]:
+    """For each language LEAST_SHARE of the median score of the documents that have it both as label and as nearest profile."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            labels = batch.column("lang").to_pylist()
+            for lo, hi, texts in common.text_chunks(batch.column("text")):
+                counts: dict[tuple[str, int], int] = {}
+                for label, lang, score in zip(labels[lo:hi], *nearest(texts, tables.value, top), strict=True):
+                    if label == lang:
+                        key = lang, int(score * SCORE_BINS)
+                        counts[key] = counts.get(key, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in counts], pa.string()), pa.array([x for _, x in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["lang", "bin", "n"])
+
+    rows = docs.where("lang is not null").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    held: dict[str, list] = {}
+    for row in rows.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # at most SCORE_BINS + 1 rows a language
+        held.setdefault(row["lang"], []).append((row["bin"], row["n"]))
+    least = {}
+    for lang, pairs in held.items():
+        bins, n = np.array(sorted(pairs)).T
+        least[lang] = LEAST_SHARE * float(bins[np.searchsorted(np.cumsum(n), n.sum() / 2)]) / SCORE_BINS
+    return least
+
+
+def keep_identified(docs: DataFrame, least: float | None = None, top: int = 300) -> DataFrame:
+    """docs without those that no language is near enough to; decided where a row is read.
+
+    A score must be above 0 and at least ``least``; None: the least score of the nearest language, by ``least_scores``.
+    """
     import pyarrow as pa
 
-    tables, at = profile_tables(learn_profiles(docs.where(~held_out()), top)), docs.columns.index("text")
+    tables, at = profile_tables(learn_profiles(docs, top)), docs.columns.index("text")
+    by_lang = least_scores(docs, tables, top) if least is None and tables.value else {}
+    other = min(by_lang.values(), default=0.0) if least is None else least  # a language that is nearest to none of its own documents
+
+    def keeps(texts: list[str]) -> list[bool]:
+        if not tables.value:
+            return (np.bincount(gram_counts(texts, 1)[0].astype(np.int64), minlength=len(texts)) > 0).tolist()
+        return [lang != UNKNOWN and score > 0 and score >= by_lang.get(lang, other) for lang, score in zip(*nearest(texts, tables.value, top), strict=True)]
 
     def run(batches):
         for batch in batches:
             keep = []
             for _, _, texts in common.text_chunks(batch.column(at).fill_null("")):
-                langs, scores = nearest(texts, tables.value, top)
-                keep += [lang != UNKNOWN and score >= least for lang, score in zip(langs, scores, strict=True)]
+                keep += keeps(texts)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
