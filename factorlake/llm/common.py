@@ -30,10 +30,21 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def map_texts(df: DataFrame, work: Callable[[list, list[str]], dict], schema: str) -> DataFrame:
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A hash of a row's id, null or not, and its whole text (null: empty): never null, and its own where ids are missing or repeat."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text_rows with ``row_key``."""
+    return text_rows(docs, id_col, text_col).withColumn("row_key", row_key())
+
+
+def map_texts(df: DataFrame, work: Callable[[list, list[str]], dict], schema: str, carried: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``work(ids, texts) -> columns`` to chunks of rows of (doc_id, text) that hold about CHUNK_CHARS characters.
 
-    A chunk never spans two Arrow batches; one very long text makes a chunk of its own.
+    A chunk never spans two Arrow batches; one very long text makes a chunk of its own. Columns ``carried`` go along as they
+    are, for work that returns one row for each text.
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,10 +55,10 @@ def map_texts(df: DataFrame, work: Callable[[list, list[str]], dict], schema: st
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for lo, hi, texts in text_chunks(batch.column("text")):
-                made = work(ids[lo:hi], texts)
+                made = work(ids[lo:hi], texts) | {c: batch.column(c).slice(lo, hi - lo).to_pylist() for c in carried}
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+    return df.select("doc_id", "text", *carried).mapInArrow(run, schema)
 
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:

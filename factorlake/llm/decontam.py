@@ -12,8 +12,9 @@ hits are joined to the sketches with both sides salted, since a passage may occu
 candidates are verified on whole shingle sets, both joined by key.
 
 Defined cases: null and empty documents contain nothing; items without words are never found; an item of fewer than
-five words is found where a document has exactly its words and no more. Repeated rows of either table give
-one result row for each pair of ids; ties do not arise.
+five words is found where a document has exactly its words and no more. Rows are told apart by a key of id and text, items by
+their shingle set, so null and repeated ids are searched like others. ``contamination`` has one result row for each pair
+of ids, null too: of rows that repeat the ids, the pair with the largest containment. ``decontaminate`` judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .jaccard import shingle_sets
+from .jaccard import set_key, shingle_sets
 
 SALTS = 16
 
@@ -44,32 +45,32 @@ def sketch_length(partition: int, threshold: float, recall: float) -> int:
 
 
 def item_sketches(items: DataFrame, threshold: float, recall: float, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, n, partition, sketch, shingles), one row for each item with words."""
+    """(item_id, item_key, n, partition, sketch, shingles), one row for each item with words; item_key is a hash of its shingle set."""
     rows = common.text_rows(items, id_col, text_col)
 
     def work(ids: list, texts: list[str]) -> dict:
-        out = {"item_id": [], "n": [], "partition": [], "sketch": [], "shingles": []}
+        out = {"item_id": [], "item_key": [], "n": [], "partition": [], "sketch": [], "shingles": []}
         for item, values in zip(ids, shingle_sets(texts, k), strict=True):
             if len(values):
                 partition = int(len(values) - 1).bit_length()
                 with np.errstate(over="ignore"):
                     ranks = (common.mix(values ^ common.mix(np.uint64([f + 1]))) for f in range(sketch_length(partition, threshold, recall)))
                     sketch = np.unique([values[r.argmin()] for r in ranks])
-                for column, value in zip(out, (item, len(values), partition, sketch.view(np.int64), values.view(np.int64)), strict=True):
+                for column, value in zip(out, (item, set_key(values), len(values), partition, sketch.view(np.int64), values.view(np.int64)), strict=True):
                     out[column].append(value)
         return out
 
-    made = common.map_texts(rows, work, "item_id long, n int, partition int, sketch array<long>, shingles array<long>")
-    return made.dropDuplicates(["item_id"])
+    made = common.map_texts(rows, work, "item_id long, item_key long, n int, partition int, sketch array<long>, shingles array<long>")
+    return made.dropDuplicates(["item_id", "item_key"])
 
 
 def documents_with_hits(docs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
-    """(doc_id, hits, shingles) of documents with at least one shingle that passes the filter over all sketches."""
+    """(doc_id, row_key, hits, shingles) of documents with at least one shingle that passes the filter over all sketches."""
     wanted = common.key_filter(sketches, "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist()
             for lo, hi, texts in common.text_chunks(batch.column("text")):
                 values, starts = common.shingles(texts, k)
                 hit = common.in_filter(wanted.value, values)
@@ -78,30 +79,36 @@ def documents_with_hits(docs: DataFrame, sketches: DataFrame, k: int) -> DataFra
                 if len(rows):
                     hits = [np.unique(values[a:b][hit[a:b]]).view(np.int64) for a, b in zip(starts[rows], starts[rows + 1], strict=True)]
                     whole = [np.unique(values[a:b]).view(np.int64) for a, b in zip(starts[rows], starts[rows + 1], strict=True)]
-                    arrays = [pa.array([ids[lo + r] for r in rows], pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "hits", "shingles"])
+                    arrays = [pa.array([ids[lo + r] for r in rows], pa.int64()), pa.array([keys[lo + r] for r in rows], pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "hits", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hits array<long>, shingles array<long>")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, hits array<long>, shingles array<long>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, recall: float = 0.999, k: int = 5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, item_id, n_shingles, n_found, containment): documents that hold at least threshold of an item's shingles."""
+def contaminated_rows(docs: DataFrame, items: DataFrame, threshold: float = 0.8, recall: float = 0.999, k: int = 5, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_key, item_id, n_shingles, n_found, containment) of keyed rows that hold at least threshold of an item's shingles."""
     sketched = common.cut(item_sketches(items, threshold, recall, k, item_col, text_col))
-    sketches = sketched.select("item_id", F.explode("sketch").alias("value"))
-    found = common.cut(documents_with_hits(common.text_rows(docs, id_col, text_col), sketches, k))
-    hits = found.select("doc_id", F.explode("hits").alias("value")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    sketches = sketched.select("item_key", F.explode("sketch").alias("value")).distinct()
+    found = common.cut(documents_with_hits(docs, sketches, k))
+    hits = found.select("row_key", F.explode("hits").alias("value")).withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
     salted = sketches.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    candidates = hits.join(salted, ["value", "salt"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("sketch_hits"))
+    candidates = hits.join(salted, ["value", "salt"]).groupBy("row_key", "item_key").agg(F.count("*").alias("sketch_hits"))
     # by item the hot one is salted again, by document no key is hot
-    by_item = candidates.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    whole = sketched.select("item_id", "n", F.col("shingles").alias("item_shingles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = by_item.join(whole, ["item_id", "salt"]).join(found.select("doc_id", "shingles"), "doc_id")
-    counted = pairs.select("doc_id", "item_id", F.col("n").alias("n_shingles"), F.size(F.array_intersect("item_shingles", "shingles")).alias("n_found"))
-    counted = counted.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))  # of repeated doc_ids
+    by_item = candidates.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
+    whole = sketched.select("item_key", "item_id", "n", F.col("shingles").alias("item_shingles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = by_item.join(whole, ["item_key", "salt"]).join(found.select("row_key", "doc_id", "shingles"), "row_key")
+    counted = pairs.select("doc_id", "row_key", "item_id", F.col("n").alias("n_shingles"), F.size(F.array_intersect("item_shingles", "shingles")).alias("n_found"))
     return counted.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= threshold)
 
 
+def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, recall: float = 0.999, k: int = 5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, item_id, n_shingles, n_found, containment): documents that hold at least threshold of an item's shingles."""
+    rows = contaminated_rows(common.keyed_rows(docs, id_col, text_col), items, threshold, recall, k, item_col, text_col)
+    best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_shingles", "n_found")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_shingles", "best.n_found", "best.containment")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no item is found."""
-    bad = contamination(docs, items, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = contaminated_rows(common.keyed_rows(docs), items, **options).select(F.col("row_key").alias("_bad")).distinct()
+    return docs.join(bad, common.row_key() == F.col("_bad"), "left_anti")

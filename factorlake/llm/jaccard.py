@@ -12,7 +12,9 @@ No bucket is capped. Work for a cluster of m different texts that all resemble e
 spread over (m / block)^2 / 2 tasks; copies cost nothing.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and no links. A text of one to four
-words has one shingle, all its words. Rows that repeat a doc_id count as copies of each other; the result has one row for each row.
+words has one shingle, all its words. Rows are told apart by a key of id and text, so null and repeated doc_ids are documents like
+others: they are copies of each other only if their shingle sets are equal, and a class of null doc_ids alone has a null class_id.
+The result has one row for each row.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def set_key(values: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, set_key, size, bands): set_key is a hash of the whole shingle set; null bands and size 0 if there is none."""
+    """(doc_id, row_key, set_key, size, bands): set_key is a hash of the whole shingle set; null bands and size 0 if there is none."""
 
     def work(ids: list, texts: list[str]) -> dict:
         sets = shingle_sets(texts, k)
@@ -80,27 +82,27 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 keys[i] = set_key(sets[i])
         return {"doc_id": ids, "set_key": keys, "size": sizes, "bands": made}
 
-    return common.map_texts(docs, work, "doc_id long, set_key long, size int, bands array<long>")
+    return common.map_texts(docs, work, "doc_id long, row_key long, set_key long, size int, bands array<long>", ("row_key",))
 
 
 def member_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(set_id, shingles) of the sets in members(set_id, doc_id), made from the text of that document."""
-    wanted = common.key_filter(members.select(F.xxhash64("doc_id").alias("h")), "h")
-    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    """(set_id, shingles) of the sets in members(set_id, row_key), made from the text of that row."""
+    wanted = common.key_filter(members.select(F.xxhash64("row_key").alias("h")), "h")
+    hashed = docs.select("row_key", "text", F.xxhash64("row_key").alias("h"))
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = common.in_filter(wanted.value, batch.column("h").to_numpy().view(np.uint64))
             if keep.any():
                 batch = batch.filter(pa.array(keep))
-                ids = batch.column("doc_id").to_pylist()
+                ids = batch.column("row_key").to_pylist()
                 for lo, hi, texts in common.text_chunks(batch.column("text")):
                     sets = shingle_sets(texts, k)
                     arrays = [pa.array(ids[lo:hi], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "set_id", "shingles"])
+                    yield pa.RecordBatch.from_arrays(arrays, ["row_key", "set_id", "shingles"])
 
-    made = hashed.mapInArrow(passes, "doc_id long, set_id long, shingles array<long>")
-    return made.join(members, ["doc_id", "set_id"]).dropDuplicates(["set_id"]).select("set_id", "shingles")
+    made = hashed.mapInArrow(passes, "row_key long, set_id long, shingles array<long>")
+    return made.join(members, ["row_key", "set_id"]).dropDuplicates(["set_id"]).select("set_id", "shingles")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -197,18 +199,22 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     class_id is the smallest doc_id of the documents connected by links (Jaccard of shingle sets at least threshold);
     n_links counts the other documents linked directly, n_copies those of them with the very same shingle set.
     """
-    docs = common.text_rows(docs, id_col, text_col)
+    return keyed_classes(common.keyed_rows(docs, id_col, text_col), threshold, k, recall, block).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def keyed_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.999, block: int = 256) -> DataFrame:
+    """jaccard_classes of keyed rows, with row_key and with component, a key of the class (null for a text without words)."""
     bands, rows = banding(threshold, recall)
     signed = common.cut(signatures(docs, k, bands, rows))
-    sets = common.cut(signed.where("size > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-    first = signed.where("size > 0").join(sets, ["set_key", "doc_id"]).dropDuplicates(["set_key"]).withColumnRenamed("set_key", "set_id")
+    sets = common.cut(signed.where("size > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.count("*").alias("copies")))
+    first = signed.where("size > 0").join(sets.drop("doc_id"), ["set_key", "row_key"]).dropDuplicates(["set_key"]).withColumnRenamed("set_key", "set_id")
     found = first.select("set_id", "copies", F.explode("bands").alias("bucket"))
     by_bucket = found.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_id").alias("low"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark")).where("members > 1")
     kept = by_bucket.groupBy("members", "low", "mark").agg(F.min("bucket").alias("bucket"))  # same members, same pairs
     members = common.cut(found.join(kept.select("bucket", "members"), "bucket"))
     named = members.groupBy("set_id").agg(F.collect_list("bucket").alias("buckets"), F.first("copies").alias("copies"))
-    named = named.join(sets.select(F.col("set_key").alias("set_id"), "doc_id"), "set_id")
-    shingled = member_sets(docs, named.select("set_id", "doc_id"), k)
+    named = named.join(sets.select(F.col("set_key").alias("set_id"), "row_key"), "set_id")
+    shingled = member_sets(docs, named.select("set_id", "row_key"), k)
     dealt = members.select("set_id", "bucket", F.ceil(F.col("members") / block).cast("int").alias("blocks")).withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "set_id", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
@@ -221,17 +227,21 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     classes = common.components(links.where("peer is not null").select(F.col("set_id").alias("a"), F.col("peer").alias("b")))
     joined = sets.join(classes.select(F.col("node").alias("set_key"), "component"), "set_key", "left").join(counts.withColumnRenamed("set_id", "set_key"), "set_key", "left")
     joined = joined.select("set_key", F.coalesce("component", "set_key").alias("component"), "doc_id", (F.col("copies") - 1).alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    lookup = joined.drop("doc_id").join(joined.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").drop("component")
+    lookup = joined.drop("doc_id").join(joined.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component")
     # empty texts carry no key, so they don't meet in one task of the join
-    keyed = signed.select("doc_id", F.when(F.col("size") > 0, F.col("set_key")).alias("set_key")).where("set_key is not null")
-    empty = signed.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
-    return keyed.join(lookup, "set_key").select("doc_id", "class_id", "n_links", "n_copies").unionByName(empty)
+    keyed = signed.select("doc_id", "row_key", F.when(F.col("size") > 0, F.col("set_key")).alias("set_key")).where("set_key is not null")
+    zero = F.lit(0).cast("long")
+    empty = signed.where("size = 0").select("doc_id", "row_key", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_copies"))
+    return keyed.join(lookup, "set_key").select("doc_id", "row_key", "component", "class_id", "n_links", "n_copies").unionByName(empty)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without all but one document of each class: the one with the smallest doc_id stays.
 
-    Of rows that repeat a doc_id and a text one stays; so do documents without words.
+    A null doc_id comes after all others; of different texts with the smallest doc_id, or of null ones alone, that with the smallest
+    row key stays. Of rows that repeat a doc_id, null too, and a text one stays; so do documents without words.
     """
-    classes = jaccard_classes(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(classes, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    classes = keyed_classes(common.keyed_rows(docs), **options)
+    worded = classes.where("component is not null and doc_id <=> class_id").groupBy("component").agg(F.min("row_key").alias("_kept")).select("_kept")
+    kept = worded.unionByName(classes.where("component is null").select(F.col("row_key").alias("_kept")).distinct())
+    return docs.join(kept, common.row_key() == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
