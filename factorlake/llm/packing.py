@@ -3,8 +3,11 @@
 Each task packs the documents of its own input partition as they come: no shuffle, no driver work, and a lost task
 packs the same rows again. A document fills whole windows first; its rest goes to the fill level that
 minimises the sum of squared counts of partially filled windows, tracked in an array with one count for each level.
-What is still partial when a task's rows end is cut freely: windows are filled one after the other, and the last
-is cut at powers of two, which need no padding. A task holds the ids of its partial windows only.
+
+Windows that are still partial when a task's rows end, or when more than OPEN of them are held (documents of one size above half a
+window never meet a partner), keep what the levels gave them: the fullest are filled up with tokens cut from the emptiest, so
+only the emptiest are taken apart. The last one is cut at powers of two, which need no padding. A task holds the ids
+of at most OPEN partial windows, 32 MB for windows of 2048.
 
 Defined cases: a null or empty text is the end mark alone; rows that repeat a doc_id are packed one by one.
 """
@@ -12,6 +15,7 @@ Defined cases: a null or empty text is the end mark alone; rows that repeat a do
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +26,8 @@ from . import common, tokens
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 1
+#: Partial windows that a task holds at once.
+OPEN = 4_096
 
 
 class Levels:
@@ -50,25 +56,58 @@ class Levels:
         self.open.setdefault(level + size, []).append(held)
         return None
 
-    def rest(self) -> Iterator[tuple]:
-        for level in sorted(self.open, reverse=True):
-            for held in self.open[level]:
-                yield from held
-
-
-def windows(pieces: Iterator[tuple], window: int) -> Iterator[list[tuple]]:
-    """Cut pieces freely into full windows; the last tokens into windows at powers of two."""
-    held, filled, left = [], 0, list(pieces)
-    total = sum(len(p[2]) for p in left)
-    goal = window if total >= window else 1 << max(total.bit_length() - 1, 0)
-    for doc, start, ids, whole in left:
-        while len(ids):
-            part, ids = ids[: goal - filled], ids[goal - filled :]
-            held.append((doc, start, part, whole))
-            start, filled, total = start + len(part), filled + len(part), total - len(part)
-            if filled == goal:
-                yield held
-                held, filled, goal = [], 0, window if total >= window else 1 << max(total.bit_length() - 1, 0)
+    def held(self) -> int:
+        return int(self.counts.sum())
+
+    def drain(self, last: bool) -> Iterator[list[tuple]]:
+        """Close all partial windows, the fullest first, with tokens cut from the emptiest; what is left of those becomes
+        one partial window again or, at the end, windows at powers of two."""
+        partial = deque((level, pieces) for level in sorted(self.open, reverse=True) for pieces in self.open[level])
+        self.counts[:], self.open = 0, {}
+        rest: list[tuple] = []  # of the emptiest window, pieces to be cut from
+        while partial:
+            level, pieces = partial.popleft()
+            while level < self.window:
+                if not rest:
+                    if not partial:
+                        break
+                    rest = partial.pop()[1]
+                part, tail = cut_piece(rest.pop(), self.window - level)
+                pieces.append(part)
+                level += len(part[2])
+                if tail:
+                    rest.append(tail)
+            if level == self.window:
+                yield pieces
+            else:
+                rest = pieces
+        if rest and last:
+            yield from powers(rest)
+        elif rest:
+            level = sum(len(p[2]) for p in rest)
+            self.counts[level] += 1
+            self.open[level] = [rest]
+
+
+def cut_piece(piece: tuple, most: int) -> tuple[tuple, tuple | None]:
+    """The first ``most`` tokens of a piece, and the rest if there is any."""
+    doc, start, ids, whole = piece
+    return (doc, start, ids[:most], whole), (doc, start + most, ids[most:], whole) if len(ids) > most else None
+
+
+def powers(pieces: list[tuple]) -> Iterator[list[tuple]]:
+    """Windows at powers of two, largest first, of less than a window's tokens."""
+    total, left = sum(len(p[2]) for p in pieces), pieces[::-1]
+    while total:
+        goal, made = 1 << (total.bit_length() - 1), []
+        total -= goal
+        while goal:
+            part, tail = cut_piece(left.pop(), goal)
+            made.append(part)
+            goal -= len(part[2])
+            if tail:
+                left.append(tail)
+        yield made
 
 
 def pack(docs: DataFrame, window: int = 2048, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,8 +139,11 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str | None = None, id_
                     full = [piece] if len(piece[2]) == window else levels.place(piece)
                     if full:
                         put(full)
+                if levels.held() > OPEN:
+                    for pieces in levels.drain(last=False):
+                        put(pieces)
             yield out()
-        for pieces in windows(levels.rest(), window):
+        for pieces in levels.drain(last=True):
             put(pieces)
         yield out()
 

@@ -1,8 +1,9 @@
 """Token counts: an exact histogram of encoded lengths, whose suffix sums answer every context limit.
 
 Documents are encoded once, where they are read; a chunk of rows sends one row for each length it has, so the
-shuffle grows with the number of lengths, not of documents. Suffix sums run in two levels (blocks of lengths, then
-within a block), so no single task sorts the histogram.
+shuffle grows with the number of lengths, not of documents. The histogram goes to the checkpoint folder before its sums
+are taken. Suffix sums run in three levels (groups of blocks, blocks of lengths, within a block): each task of a window has
+BLOCK rows a key at most, and only the groups, one for BLOCK * BLOCK lengths, are ordered together.
 
 Defined cases: a null or empty text has length 0; an empty table gives an empty histogram; repeated rows count again.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-BLOCK = 1024
+BLOCK = 64
 
 
 def length_histogram(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
@@ -24,7 +25,7 @@ def length_histogram(docs: DataFrame, vocabulary: str | None = None, text_col: s
     vocabulary = vocabulary or tokens.default_vocabulary()
 
     def work(ids: list, texts: list[str]) -> dict:
-        counts = Counter(map(len, tokens.encoder(vocabulary).encode_ordinary_batch(texts, num_threads=1)))
+        counts = Counter(tokens.lengths(texts, vocabulary))
         return {"length": list(counts), "n_docs": list(counts.values())}
 
     rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -39,15 +40,15 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     Between two lengths of the histogram the truncated total is linear: truncated_tokens of the lower one plus
     (limit - L) * documents longer than L.
     """
-    rows = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
-    sums = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
-    after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # one row for each 1024 lengths: the longest document's length / 1024 rows at most
-    blocks = sums.select(
-        "block", F.coalesce(F.sum("d").over(after), F.lit(0)).alias("docs_after"), F.coalesce(F.sum("t").over(after), F.lit(0)).alias("tokens_after"),
-        F.sum("d").over(everything.orderBy("block")).alias("all_docs"), F.sum("t").over(everything.orderBy("block")).alias("all_tokens"),
-    )
+    rows = common.cut(histogram).select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
+    blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t")).withColumn("group", F.floor(F.col("block") / BLOCK))
+    groups = blocks.groupBy("group").agg(F.sum("d").alias("group_d"), F.sum("t").alias("group_t"))
+    later = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = Window.orderBy(F.desc("group"))
+    everything = last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = groups.select("group", later(last, "group_d").alias("docs_later"), later(last, "group_t").alias("tokens_later"), F.sum("group_d").over(everything).alias("all_docs"), F.sum("group_t").over(everything).alias("all_tokens"))
+    behind = Window.partitionBy("group").orderBy(F.desc("block"))
+    blocks = blocks.join(groups, "group").select("block", (later(behind, "d") + F.col("docs_later")).alias("docs_after"), (later(behind, "t") + F.col("tokens_later")).alias("tokens_after"), "all_docs", "all_tokens")
     within = Window.partitionBy("block").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(blocks, "block").withColumns(
         {"docs_at_least": F.sum("n_docs").over(within) + F.col("docs_after"), "tokens_at_least": F.sum("tokens").over(within) + F.col("tokens_after")}

@@ -28,16 +28,20 @@ def byte_of_symbol() -> dict[str, int]:
 def encoder(vocabulary: str):
     """Merges run in tiktoken, several times as fast as tokenizers on the same vocabulary; ids are equal (tests hold them together).
 
-    Strings of special tokens are ordinary text.
+    The vocabulary's added tokens are taken out of the text before the merges and keep their own ids, as tokenizers does.
     """
     import tiktoken
 
     with open(vocabulary, encoding="utf-8") as file:
         model = json.load(file)
-    special, of = {x["content"] for x in model["added_tokens"]}, byte_of_symbol()
+    special, of = {x["content"]: x["id"] for x in model["added_tokens"]}, byte_of_symbol()
     ranks = {bytes(of[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encode(text: str, vocabulary: str) -> np.ndarray:
-    return np.array(encoder(vocabulary).encode_ordinary(text), dtype=np.uint32)
+    return np.array(encoder(vocabulary).encode(text, allowed_special="all"), dtype=np.uint32)
+
+
+def lengths(texts: list[str], vocabulary: str) -> list[int]:
+    return [len(ids) for ids in encoder(vocabulary).encode_batch(texts, num_threads=1, allowed_special="all")]
