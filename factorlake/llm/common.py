@@ -155,21 +155,27 @@ def key_filter(keys: DataFrame, column: str):
     return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only where none is set (tests) a new temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names, or the one that the session already uses; only where none is set (tests) a new temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there: lost executors lose nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row, however often the body and its inner functions use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def partition_id() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
@@ -179,26 +185,47 @@ def crc_mod(id_col: Column | str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col) % modulus
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+#: A key with more than one row in this many is hot.
+HOT_SHARE = 1_000
+
+
+def hot_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The keys that hold more than 1 / HOT_SHARE of ``total`` rows: HOT_SHARE of them at most, so they may be broadcast."""
+    return cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(total // HOT_SHARE, HOT_SHARE // 10)).select(*keys))
+
+
+def join_split(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined to lookup, which has one row for a key, as an inner or left join.
+
+    Rows of a hot key stay where they are and meet the lookup's at most HOT_SHARE rows by broadcast; all
+    others are shuffled, so no task gets more than a small share of the rows.
+    """
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    cold = marked.where("_hot is null").drop("_hot").join(lookup, keys, how)
+    return cold.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(lookup.join(F.broadcast(hot), keys, "left_semi")), keys, how))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b) of bigints: rows (node, component), the smallest node of each.
 
-    Rounds of alternating star contraction; each round's edges go to the checkpoint folder. The
-    hottest star is spread by AQE, and minima are pre-aggregated before each shuffle.
+    Rounds of alternating star contraction until nothing changes; each round's edges go to the checkpoint folder. The edges of
+    a hub are not shuffled by the hub, and minima are pre-aggregated before each shuffle.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(max_rounds):
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = state(edges)
+    while before[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        upward = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        large = cut(join_split(upward, low, ["u"], hot_keys(upward, ["u"], before[0])).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct())
         down = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        small = large.select(F.col("b").alias("u"), F.col("a").alias("v")).join(down, "u")
+        downward = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        small = join_split(downward, down, ["u"], hot_keys(downward, ["u"], before[0]))
         edges = cut(small.select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b")).where("a <> b").unionByName(down.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = state(edges)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     stars = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
