@@ -1,15 +1,18 @@
 """PII: fixed rules, then bootstrapped contextual extraction, in DataFrame functions only.
 
 Rules find emails, addresses, cards and phone numbers. They seed the extraction: every token with a digit or an @ is an
-instance; the words before and after it are its lexical patterns. Spark scores the pattern-instance graph in rounds: a
-pattern's confidence is the summed confidence of its instances over their number (plus a constant, so rare patterns
-stay low), an instance's is 1 for a seed, else the mean of its patterns'. Instances that no rule knows, in
-patterns of high confidence, are spans of kind ``context``.
-
-Positions come from the pieces between matches, so they are code points, as in the text.
-
-Defined cases: null and empty texts have no spans; without seeds nothing is discovered; rows that repeat a
-doc_id are found one by one (a doc_id and text that repeat get the same spans).
+instance; its lexical patterns are the word and the two words before it, the word and the two words after it, and the pair of words
+around it. Spark scores the pattern-instance graph in rounds. A pattern's confidence is the number of its different instances
+that are seeds, or accepted with their confidence, over the number of all its instances (plus a constant, so rare
+patterns stay low). An instance's confidence is 1 for a seed, else that of its best pattern, and it is accepted once that reaches
+the limit: patterns without support don't count against it, and what no round accepted counts against its patterns.
+Accepted instances that no rule knows are spans of kind ``context`` where they stand in a confident pattern.
+
+One pass over the texts makes rule spans and instances; the graph is built from those. Positions are sums of lengths of the pieces between matches, taken in chunks,
+so work grows with the text's length. They are code points, as in the text.
+
+Defined cases: null and empty texts have no spans; without seeds nothing is discovered; identifiers without a digit or an @ (names) are
+beyond this method. Rows are told apart by a key of id and text, so null and repeated doc_ids are found one by one.
 """
 
 from __future__ import annotations
@@ -25,23 +28,31 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: One or two words at the end of a text, and at its beginning.
+BEFORE, AFTER = r"((?:(?<!\S)\S++\s++)?+(?<!\S)\S++)\s*+$", r"^\s*+(\S++(?:\s++\S++)?+)"
+CHUNK = 256
 INSTANCE = rf"{PHONE}|[0-9](?:[\x20-]?[0-9]){{12,18}}+|(?<!\S)[^\s0-9@]*+[0-9@]\S*"
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit, gap>> of all matches; gap: the text between a match and the one before."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))  # gaps have one more: its hit is null
-    empty = F.lit(None).cast("array<struct<start:int,end:int,hit:string,gap:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,end:int,hit:string,gap:string>>")).alias("out"))
+def sums_before(lengths: Column) -> Column:
+    """For each of an array's numbers (one at least) the sum of those before it; arrays grow within a chunk only."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        made = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["gap"].alias("gap"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
+    def prefix(xs: Column, value) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["at"] + value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    chunks = common.let(lengths, lambda all_: F.transform(F.sequence(F.lit(1), F.size(all_), F.lit(CHUNK)), lambda i: prefix(F.slice(all_, i, F.lit(CHUNK)), lambda x: x)))
+    shifted = lambda c, base: F.transform(c["out"], lambda x: x + base)
+    return common.let(chunks, lambda cs: F.flatten(F.zip_with(cs, prefix(cs, lambda c: c["at"])["out"], shifted)))
+
+
+def spans_of(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, hit>> of all matches."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(h), F.lit(0)).alias("size"), h.alias("hit")))  # gaps have one more: its hit is null
+    made = lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("end"), p["hit"].alias("hit"))
+    placed = common.let(pairs, lambda ps: F.zip_with(ps, sums_before(F.transform(ps, lambda p: p["gap"] + p["size"])), made))
+    return F.filter(placed, lambda s: s["hit"].isNotNull())
 
 
 def digits(hit: Column) -> Column:
@@ -68,7 +79,7 @@ def rules(text: Column) -> dict[str, Column]:
     """array<struct<start, end>> of each kind; expensive matching only for texts that hold what a match needs."""
 
     def bare(spans: Column, good) -> Column:
-        kept = F.filter(spans, lambda s: s["hit"].isNotNull() & good(s["hit"]))
+        kept = F.filter(spans, lambda s: good(s["hit"]))
         return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -81,50 +92,67 @@ def rules(text: Column) -> dict[str, Column]:
     }
 
 
-def rule_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with an array of spans for each rule kind and a hash of the text; the text goes."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *[c.alias(k) for k, c in rules(F.col("text")).items()])
-
-
-def instances(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, end, instance, patterns, seed) of every instance occurrence."""
-    some = docs.where(F.col("text").rlike("[0-9@]"))
-    spans = some.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), spans_of(F.col("text"), INSTANCE).alias("spans"), *[c.alias(k) for k, c in rules(F.col("text")).items()])
-    base = F.concat(*[F.col(k) for k in KINDS[:4]])
-    rows = spans.select("doc_id", "text_hash", base.alias("base"), "spans", F.posexplode("spans").alias("at", "s")).where("s.hit is not null")
-    after = F.try_element_at("spans", F.col("at") + 2)["gap"]
-    head, tail = F.length(F.regexp_extract("s.hit", r"^[\"'(\[{<]*", 0)), F.length(F.regexp_extract("s.hit", r"[\"')\]}>.,;:!?]*$", 0))
-    seen = rows.select(
-        "doc_id", "text_hash", "base", (F.col("s.start") + head).alias("start"), (F.col("s.end") - tail).alias("end"),
-        F.expr("substring(s.hit, 1, 200)").alias("hit"), F.lower(F.regexp_extract("s.gap", r"(\S+)\s*$", 1)).alias("left"), F.lower(F.regexp_extract(after, r"^\s*(\S+)", 1)).alias("right"),
-    ).where("end > start")
-    touches = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    parts = F.filter(F.array(F.concat(F.lit("L "), F.col("left")), F.concat(F.lit("R "), F.col("right")), F.concat(F.lit("B "), F.col("left"), F.lit(" "), F.col("right"))), lambda p: F.length(p) > 3)
-    return seen.select("doc_id", "text_hash", "start", "end", F.xxhash64("hit").alias("instance"), F.transform(parts, lambda p: F.xxhash64(p)).alias("patterns"), touches.alias("seed"))
-
-
-def confident(occurrences: DataFrame, rounds: int, prior: float, least: float) -> tuple[DataFrame, DataFrame]:
-    """Patterns and instances of at least the confidence ``least`` after some rounds over the pattern-instance graph."""
-    edges = common.cut(occurrences.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    scored = edges.withColumn("c", F.col("seed").cast("double"))
+def words_around(text: Column) -> Column:
+    """array<struct<before, after>>: up to two lower-case words on either side of each instance."""
+    gaps = F.split(text, INSTANCE, -1)
+    words = lambda gap, pattern: F.split(F.lower(F.regexp_extract(gap, pattern, 1)), r"\s+")
+    ends = F.transform(gaps, lambda g: F.struct(words(g, BEFORE).alias("before"), words(g, AFTER).alias("after")))
+    pair = lambda a, b: F.struct(a["before"].alias("before"), b["after"].alias("after"))
+    return common.let(ends, lambda es: F.zip_with(F.slice(es, F.lit(1), F.size(es) - 1), F.slice(es, F.lit(2), F.size(es)), pair))
+
+
+def patterns_of(around: Column) -> Column:
+    """Hashes of the patterns of an instance; none of an absent word."""
+    one, two = around["before"], around["after"]
+    left, right = F.element_at(one, -1), two[0]
+    made = F.array(
+        F.when(left != "", F.xxhash64(F.lit("L"), left)), F.when(F.size(one) > 1, F.xxhash64(F.lit("LL"), one[0], left)),
+        F.when(right != "", F.xxhash64(F.lit("R"), right)), F.when(F.size(two) > 1, F.xxhash64(F.lit("RR"), right, two[1])),
+        F.when((left != "") & (right != ""), F.xxhash64(F.lit("B"), left, right)),
+    )
+    return F.array_compact(made)
+
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, row_key, text) with an array of spans for each rule kind and of instances (start, end, instance, patterns, seed); the text goes."""
+    found = docs.select("doc_id", "row_key", "text", *[c.alias(k) for k, c in rules(F.col("text")).items()])
+
+    def instance(s: Column, around: Column, base: Column) -> Column:
+        head, tail = F.length(F.regexp_extract(s["hit"], r"^[\"'(\[{<]*+", 0)), F.length(F.regexp_extract(s["hit"], r"[\"')\]}>.,;:!?]++$", 0))
+        start, end = s["start"] + head, s["end"] - tail
+        seed = F.exists(base, lambda b: (b["start"] < end) & (start < b["end"]))
+        return F.struct(start.alias("start"), end.alias("end"), F.xxhash64(s["hit"]).alias("instance"), patterns_of(around).alias("patterns"), seed.alias("seed"))
+
+    seen = common.let(F.concat(*KINDS[:4]), lambda base: F.zip_with(spans_of(F.col("text"), INSTANCE), words_around(F.col("text")), lambda s, around: instance(s, around, base)))
+    none = F.array().cast("array<struct<start:int,end:int,instance:bigint,patterns:array<bigint>,seed:boolean>>")
+    some = F.when(F.col("text").rlike("[0-9@]"), F.filter(seen, lambda x: x["end"] > x["start"])).otherwise(none)
+    return found.select("doc_id", "row_key", *KINDS[:4], some.alias("instances"))
+
+
+def confident(edges: DataFrame, rounds: int, prior: float, least: float) -> tuple[DataFrame, DataFrame]:
+    """(pattern), (instance): confident patterns and accepted instances after some rounds over the edges (pattern, instance, seed)."""
+    n, unseen = edges.count(), edges.where("not seed")
+    by_pattern, by_instance = common.hot_keys(unseen, ["pattern"], n), common.hot_keys(edges, ["instance"], n)
+    scored, found = edges.withColumn("c", F.col("seed").cast("double")), None
+    score = lambda: scored.groupBy("pattern").agg((F.sum("c") / (F.count("*") + prior)).alias("p")).where(F.col("p") >= least)
     for _ in range(rounds):
-        patterns = scored.groupBy("pattern").agg((F.sum("c") / (F.count("*") + prior)).alias("p"))
-        means = edges.where("not seed").join(patterns, "pattern").groupBy("instance").agg(F.avg("p").alias("m"))
-        scored = edges.where("seed").withColumn("c", F.lit(1.0)).unionByName(edges.where("not seed").join(means, "instance").select("pattern", "instance", "seed", F.col("m").alias("c")))
-        scored = common.cut(scored)
-    patterns = scored.groupBy("pattern").agg((F.sum("c") / (F.count("*") + prior)).alias("p")).where(F.col("p") >= least)
-    return patterns.select("pattern"), scored.where((~F.col("seed")) & (F.col("c") >= least)).select("instance").distinct()
+        found = common.cut(common.join_split(unseen, score(), ["pattern"], by_pattern).groupBy("instance").agg(F.max("p").alias("c")))
+        scored = common.join_split(edges, found, ["instance"], by_instance, "left").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("c", F.lit(0.0))).alias("c"))
+    return score().select("pattern"), found.select("instance")
 
 
 def find_pii(docs: DataFrame, rounds: int = 3, prior: float = 2.0, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id and an array of spans (start, end), in code points, for each of KINDS."""
-    docs = common.text_rows(docs, id_col, text_col)
-    seen = common.cut(instances(docs))
-    patterns, found = confident(seen, rounds, prior, least)
-    unseen = seen.where("not seed").join(found, "instance").withColumn("pattern", F.explode("patterns")).join(patterns, "pattern")
-    spans = unseen.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context"))
+    rows = common.cut(with_spans(common.keyed_rows(docs, id_col, text_col)))
+    seen = rows.select("row_key", F.explode("instances").alias("i")).select("row_key", "i.*")
+    edges = common.cut(seen.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    patterns, found = confident(edges, rounds, prior, least)
+    known = edges.join(found, "instance", "left_semi").join(patterns, "pattern", "left_semi").groupBy("instance").agg(F.collect_set("pattern").alias("_good"))
+    unseen = seen.where("not seed")
+    placed = common.join_split(unseen, known, ["instance"], common.hot_keys(unseen, ["instance"], unseen.count())).where(F.arrays_overlap("patterns", "_good"))
+    spans = placed.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return rule_spans(docs).join(spans, ["doc_id", "text_hash"], "left").select("doc_id", *KINDS[:4], F.coalesce("context", none).alias("context"))
+    return rows.drop("instances").join(spans, "row_key", "left").select("doc_id", *KINDS[:4], F.coalesce("context", none).alias("context"))
 
 
 def named_as(kind: str):
@@ -132,8 +160,9 @@ def named_as(kind: str):
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans)."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_context, n_spans, base_sha256, spans); n_spans counts all."""
     named = {k: F.transform(k, named_as(k)) for k in KINDS}
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     base = F.array_join(F.concat(*[named[k] for k in KINDS[:4]]), ",")
-    return spans.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(*named.values()), ",").alias("spans"))
+    total = F.size(F.concat(*KINDS)).cast("long").alias("n_spans")
+    return spans.select("doc_id", *counts, total, F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(*named.values()), ",").alias("spans"))
