@@ -1,14 +1,15 @@
 """Secret scans: fixed rules, and two character Markov models compared by log-likelihood ratio.
 
 The rules (assignments, access keys, long hexadecimal strings) label the samples: what they match is a sample of random
-strings, all other runs of token characters, but for the candidates below, are samples of ordinary identifiers. A pass over all texts counts character
+strings, all other text is a sample of ordinary identifiers, but for runs of UNLABELLED or more token characters with letters and digits,
+which may be secrets that no rule knows and belong to neither. A pass over all texts counts character
 transitions of both kinds in Spark (a fixed number of rows for each chunk); the models are two tables of 68 x 68
-log-probabilities. A second pass scores runs of 16 or more token characters with a letter and a digit: a run whose
+log-probabilities. A second pass scores every run of token characters, of any length and alphabet: a run whose
 log-likelihood ratio outweighs a prior of one secret in a million tokens is a span of kind ``random``.
 Rule spans always stay; model spans that overlap one are left out.
 
 Defined cases: null and empty texts have no spans; without any rule match in the corpus the random model is uniform;
-repeated rows are scanned one by one.
+repeated rows are scanned one by one; ids, null or repeated, are only carried along.
 """
 
 from __future__ import annotations
@@ -36,11 +37,15 @@ def either_case(words: str) -> str:
 ASSIGN = re.compile(rf"(?:{either_case('password|passwd|secret|token|api_?key')})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
-TOKEN = re.compile("[A-Za-z0-9+/_=-]{16,}")
+#: Length from which a run of letters and digits is left out of the ordinary sample.
+UNLABELLED = 16
+TOKEN = re.compile(f"[A-Za-z0-9+/_=-]{{{UNLABELLED},}}")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 N = len(SYMBOLS) + 1  # 0: any other character
 CLASS = np.zeros(256, dtype=np.int64)
 CLASS[[ord(c) for c in SYMBOLS]] = np.arange(1, N)
+IN_TOKEN = CLASS > 0
+IN_TOKEN[ord(".")] = False
 PRIOR = 1e-6
 #: Pseudo-counts of a row of the models.
 BACKOFF = 20
@@ -56,7 +61,7 @@ def rule_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def worth_a_scan(texts: list[str]) -> tuple[list[bool], list[bool]]:
-    """Whether a text can have rule matches, and tokens with digits, by linear-time matching without Python."""
+    """Whether a text can have rule matches, and digits, by linear-time matching without Python."""
     column = pa.array(texts, pa.string())
     rules = pc.match_substring_regex(column, r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
     return rules.to_pylist(), pc.match_substring_regex(column, "[0-9]").to_pylist()
@@ -69,8 +74,8 @@ def transitions(text: str) -> np.ndarray:
     return pairs[pairs > 0]
 
 
-def candidates(text: str, taken: list[tuple]) -> Iterator[re.Match]:
-    """Runs of token characters with a letter and a digit that touch no span already found (start, kind's place, end, ...)."""
+def unlabelled(text: str, taken: list[tuple]) -> Iterator[re.Match]:
+    """Long runs of token characters with a letter and a digit that touch no span already found (start, kind's place, end, ...)."""
     for m in TOKEN.finditer(text):
         token, (a, b) = m[0], m.span()
         if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(s[0] < b and a < s[2] for s in taken):
@@ -88,7 +93,7 @@ def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 pairs = np.bincount(transitions(secret), minlength=N * N)
                 counts[0] += pairs
                 counts[1] -= pairs
-            for m in candidates(text, spans) if digits else ():  # unlabelled, so a sample of neither
+            for m in unlabelled(text, spans) if digits else ():
                 counts[1] -= np.bincount(transitions(m[0]), minlength=N * N)
         counts[1] += np.bincount(transitions("\n".join(["", *texts, ""])), minlength=N * N)
         label, pair = np.nonzero(counts)
@@ -108,16 +113,31 @@ def log_probabilities(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log(0.5 * p[0] + 0.5 / N), np.log(0.98 * p[1] + 0.02 / N)
 
 
-def ratio(token: str, gain: np.ndarray) -> float:
-    classes = CLASS[np.frombuffer(token.encode("latin-1"), dtype=np.uint8)]
-    return float(gain[classes[:-1], classes[1:]].sum())
-
-
-def find(text: str, gain: np.ndarray, rules: bool = True, digits: bool = True) -> list[tuple[int, int, int]]:
-    """All spans of a text (start, kind's place, end), sorted."""
-    spans = [(a, k, b) for a, k, b, _ in rule_spans(text)] if rules else []
-    spans += [(m.start(), 3, m.end()) for m in candidates(text, spans) if ratio(m[0], gain) >= -log(PRIOR)] if digits else []
-    return sorted(spans)
+def likely_secrets(texts: list[str], gain: np.ndarray) -> list[list[tuple[int, int]]]:
+    """(start, end) of the runs of token characters of each text whose log-likelihood ratio outweighs the prior; all runs are scored at once."""
+    found: list[list[tuple[int, int]]] = [[] for _ in texts]
+    flat = np.frombuffer("\n".join(["", *texts, ""]).encode("latin-1", "replace"), dtype=np.uint8)
+    inside = IN_TOKEN[flat]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # begin, end, begin, end, ...
+    first, end = edges[::2], edges[1::2]
+    both = inside[1:] & inside[:-1]
+    gains = np.where(both, gain.ravel()[CLASS[flat[:-1]] * N + CLASS[flat[1:]]], 0.0)
+    sums = np.concatenate([[0.0], np.cumsum(gains)])
+    hit = np.flatnonzero(sums[end - 1] - sums[first] >= -log(PRIOR))
+    starts = np.concatenate([[1], 1 + np.cumsum([len(t) + 1 for t in texts])])
+    for a, b in zip(first[hit].tolist(), end[hit].tolist(), strict=True):
+        at = int(np.searchsorted(starts, a, side="right")) - 1
+        found[at].append((a - int(starts[at]), b - int(starts[at])))
+    return found
+
+
+def find(texts: list[str], gain: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """All spans of each text (start, kind's place, end), sorted."""
+    out = []
+    for text, rules, likely in zip(texts, worth_a_scan(texts)[0], likely_secrets(texts, gain), strict=True):
+        spans = [(a, k, b) for a, k, b, _ in rule_spans(text)] if rules else []
+        out.append(sorted(spans + [(a, 3, b) for a, b in likely if not any(s[0] < b and a < s[2] for s in spans)]))
+    return out
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,8 +148,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(ids: list, texts: list[str]) -> dict:
         out = {"doc_id": ids, "kinds": [], "starts": [], "ends": []}
-        for text, rules, digits in zip(texts, *worth_a_scan(texts), strict=True):
-            spans = find(text, gain.value, rules, digits) if rules or digits else []
+        for spans in find(texts, gain.value):
             out["kinds"].append([KINDS[k] for _, k, _ in spans])
             out["starts"].append([a for a, _, _ in spans])
             out["ends"].append([b for _, _, b in spans])
@@ -157,12 +176,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     gain = docs.sparkSession.sparkContext.broadcast(random - ordinary)
     schema, at = docs.schema, docs.columns.index("text")
 
-    def clean(texts: list[str]) -> list[str]:
+    def clean(texts: list) -> list:
         out = []
-        for text, rules, digits in zip(texts, *worth_a_scan([t or "" for t in texts]), strict=True):
-            if text and (rules or digits):
+        for text, spans in zip(texts, find([t or "" for t in texts], gain.value), strict=True):
+            if spans:
                 end, parts = 0, []
-                for a, _, b in find(text, gain.value, rules, digits):
+                for a, _, b in spans:
                     if a >= end:
                         parts += [text[end:a], mark]
                     end = max(end, b)
@@ -172,9 +191,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            done = []
-            for lo in range(0, len(batch), 256):
-                done += clean(batch.column(at).slice(lo, 256).to_pylist())
+            column, done = batch.column(at), []
+            for lo, hi, _ in common.text_chunks(column.fill_null("")):
+                done += clean(column.slice(lo, hi - lo).to_pylist())
             yield batch.set_column(at, batch.schema.field(at), pa.array(done, batch.schema.field(at).type))
 
     cleaned = docs.mapInArrow(run, schema)
