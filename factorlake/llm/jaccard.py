@@ -4,8 +4,8 @@
    Documents with equal shingle sets (exact copies among them) collapse into one set, pre-aggregated before the shuffle.
 2. Sets are shuffled on band hashes. Buckets of one set go; of buckets with the same members one stays.
 3. A second pass makes the shingle sets of those sets alone (a fixed-size filter, then an exact join).
-4. Members of a bucket are dealt into blocks; a task holds two blocks and compares them with set arithmetic,
-   so no bucket, however large, sits in one task. A task returns a count for each member and a spanning forest
+4. Members of a bucket are dealt into blocks, by their number and by their shingles; a task holds two blocks and compares them with
+   set arithmetic, so no bucket, however large, sits in one task. A task returns a count for each member and a spanning forest
    of the links it found, never the pairs. A pair that shares several buckets is counted in the smallest only.
 
 No bucket is capped. Work for a cluster of m different texts that all resemble each other is m * m / 2 set comparisons,
@@ -29,15 +29,17 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Shingles of a block, on average: 16 MB.
+BLOCK_SHINGLES = 2_000_000
+
+
 def banding(threshold: float, recall: float, max_hashes: int = 128) -> tuple[int, int]:
     """(bands, rows): the most rows a band, hence the fewest false candidates, whose recall at the threshold is reached."""
-    best = (max_hashes, 1)
-    for rows in range(1, max_hashes + 1):
+    for rows in range(max_hashes, 0, -1):
         for bands in range(1, max_hashes // rows + 1):
             if 1 - (1 - threshold**rows) ** bands >= recall:
-                best = (bands, rows)
-                break
-    return best
+                return bands, rows
+    raise ValueError(f"recall {recall} at {threshold} needs more than {max_hashes} hashes")
 
 
 def band_hashes(values: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -206,16 +208,16 @@ def keyed_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
     """jaccard_classes of keyed rows, with row_key and with component, a key of the class (null for a text without words)."""
     bands, rows = banding(threshold, recall)
     signed = common.cut(signatures(docs, k, bands, rows))
-    sets = common.cut(signed.where("size > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.count("*").alias("copies")))
+    sets = common.cut(signed.where("size > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.max("size").alias("n_shingles"), F.count("*").alias("copies")))
     first = signed.where("size > 0").join(sets.drop("doc_id"), ["set_key", "row_key"]).dropDuplicates(["set_key"]).withColumnRenamed("set_key", "set_id")
-    found = first.select("set_id", "copies", F.explode("bands").alias("bucket"))
-    by_bucket = found.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_id").alias("low"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark")).where("members > 1")
-    kept = by_bucket.groupBy("members", "low", "mark").agg(F.min("bucket").alias("bucket"))  # same members, same pairs
-    members = common.cut(found.join(kept.select("bucket", "members"), "bucket"))
+    found = first.select("set_id", "copies", "n_shingles", F.explode("bands").alias("bucket"))
+    by_bucket = found.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_id").alias("low"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"), F.sum("n_shingles").alias("weight")).where("members > 1")
+    kept = by_bucket.groupBy("members", "low", "mark").agg(F.min("bucket").alias("bucket"), F.max("weight").alias("weight"))  # same members, same pairs
+    members = common.cut(found.join(kept.select("bucket", "members", "weight"), "bucket"))
     named = members.groupBy("set_id").agg(F.collect_list("bucket").alias("buckets"), F.first("copies").alias("copies"))
     named = named.join(sets.select(F.col("set_key").alias("set_id"), "row_key"), "set_id")
     shingled = member_sets(docs, named.select("set_id", "row_key"), k)
-    dealt = members.select("set_id", "bucket", F.ceil(F.col("members") / block).cast("int").alias("blocks")).withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    dealt = members.select("set_id", "bucket", F.ceil(F.greatest(F.col("members") / block, F.least(F.col("members"), F.col("weight") / BLOCK_SHINGLES))).cast("int").alias("blocks")).withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "set_id", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
     )

@@ -64,10 +64,12 @@ def propagate(links: DataFrame, start: DataFrame, damping: float, rounds: int) -
     steps = common.cut(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w")))
     start = common.cut(start)
     rank = start.select("kind", "host", F.col("seed").alias("rank"))
-    if steps.isEmpty():
+    n_steps = steps.count()
+    if not n_steps:
         return rank
+    hubs = common.hot_keys(steps, ["kind", "a"], n_steps)
     for done in range(1, rounds + 1):
-        moved = rank.withColumnRenamed("host", "a").join(steps, ["kind", "a"]).select("kind", F.col("b").alias("host"), (damping * F.col("rank") * F.col("w")).alias("part"))
+        moved = common.join_split(steps, rank.withColumnRenamed("host", "a"), ["kind", "a"], hubs).select("kind", F.col("b").alias("host"), (damping * F.col("rank") * F.col("w")).alias("part"))
         back = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("part"))
         rank = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("part").alias("rank"))
         if done % 4 == 0 or done == rounds:
@@ -82,6 +84,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, damp
     rank = propagate(host_links(pages.select(host_of(F.col("url")).alias("host"), "html")), seeds(judged), damping, rounds)
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
     bad = rank.groupBy("host").agg(of("trust").alias("t"), of("distrust").alias("d")).where(F.col("d") > ratio * F.col("t")).select("host", F.lit("block").alias("_method"))
-    open_ = judged.where("rule is null").join(bad, "host", "left")
+    open_ = judged.where("rule is null")
+    open_ = common.join_split(open_, bad, ["host"], common.hot_keys(open_, ["host"], open_.count()), "left")
     by_method = open_.select("page_id", "host", "path", "rule", F.coalesce("_method", F.lit("allow")).alias("verdict"), F.lit(True).alias("by_method"))
     return judged.where("rule is not null").withColumn("by_method", F.lit(False)).unionByName(by_method)

@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from test_operators import docs_of, jac, sentence, shingle_set
+from test_text_operators import docs_of, jac, sentence, shingle_set
 
 from factorlake.llm import decontam, jaccard, langid
 
