@@ -9,13 +9,12 @@ Defined cases are those of the operators; on an empty table every stage returns
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from factorlake.llm import decontam, jaccard, langid, packing, secret_scan
-from factorlake.llm.common import table
+from factorlake.llm.common import shared_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every other stage is written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-", dir="/tmp")
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/pipeline-{uuid4().hex}-{number}"
