@@ -71,29 +71,12 @@ def frame(n: int) -> str:
     return f"OVER ({SERIES} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-#: From this window on, sums are differences of running sums: a sliding frame costs n steps a row, a growing one a single step.
-LONG = 50
-
-
-def part_sum(x: str, n: int, agg: str = "sum") -> str:
-    """Sum (or count) of the last n dates as the running sum less the one n dates before."""
-    start = f"{agg}({x}) OVER ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND"
-    return f"({over(f'{start} CURRENT ROW)')} - coalesce({over(f'{start} {n} PRECEDING)')}, 0))"
-
-
-def spread_of(sxy: str, sx: str, sy: str, k: str) -> str:
-    """Sample (co)variance from sums; what is within rounding of the sums is 0."""
-    whole = f"({sxy} - {sx} * {sy} / {k})"
-    return f"CASE WHEN abs{whole} <= 1e-11 * abs({sxy}) THEN 0.0D ELSE {whole} / ({k} - 1) END"
-
-
 def roll(agg: str, x: str, n: int, least: int | None = None) -> str:
-    """Rolling aggregate over n dates, null with fewer than ``least`` values (n // 2 if not given)."""
+    """Rolling aggregate over n dates, null with fewer than ``least`` values (n // 2 if not given).
+
+    A frame of its own for each row, whatever n: nothing outside the window, an infinity or a large sum, reaches its result.
+    """
     least = n // 2 if least is None else least
-    if spark() and n >= LONG and agg in ("sum", "avg", "stddev_samp", "var_samp"):
-        k, total = part_sum(x, n, "count"), part_sum(x, n)
-        made = {"sum": total, "avg": f"{total} / {k}"}.get(agg) or spread_of(part_sum(f"({x} * {x})", n), total, total, k)
-        return f"CASE WHEN {k} >= {max(least, 2 if '_' in agg else 1)} THEN {f'sqrt(greatest({made}, 0.0D))' if agg == 'stddev_samp' else made} END"
     return f"CASE WHEN {over(f'count({x}) {frame(n)}')} >= {least} THEN {over(f'{agg}({x}) {frame(n)}')} END"
 
 
@@ -105,9 +88,6 @@ def roll_quantile(x: str, p: float, n: int, least: int) -> str:
 def roll_pair(agg: str, y: str, x: str, n: int, least: int) -> str:
     """Rolling aggregate of two columns (covar_samp, regr_slope) over the rows that have both."""
     both = f"CASE WHEN {y} IS NOT NULL THEN {x} END"
-    if spark() and n >= LONG and agg == "covar_samp":
-        other, k = f"CASE WHEN {x} IS NOT NULL THEN {y} END", part_sum(both, n, "count")
-        return f"CASE WHEN {k} >= {max(least, 2)} THEN {spread_of(part_sum(f'({x} * {y})', n), part_sum(both, n), part_sum(other, n), k)} END"
     return f"CASE WHEN {over(f'count({both}) {frame(n)}')} >= {least} THEN {over(f'{agg}({y}, {x}) {frame(n)}')} END"
 
 

@@ -8,6 +8,9 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel, Rando
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorlake.functions.moments import moments
+from factorlake.functions.staging import cut
+
 
 def with_vector(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x").transform(df.dropna(subset=features))
@@ -18,24 +21,50 @@ def fold_bounds(dates: DataFrame, folds: int = 5) -> DataFrame:
     return dates.select("date").distinct().withColumn("block", F.ntile(folds + 1).over(Window.orderBy("date")) - 1)  # a row a date
 
 
+def lasso_coefficients(sums: np.ndarray, strength: float, rounds: int = 1_000) -> np.ndarray:
+    """(intercept, coefficients) that minimise mean squared error / 2 + strength * sum |coefficient|, from the sums of products of (1, features, target)."""
+    n, k = sums[0, 0], len(sums) - 2
+    means = sums[0, 1:] / n
+    spread = sums[1:, 1:] / n - np.outer(means, means)
+    beta = np.zeros(k)
+    for _ in range(rounds):
+        before = beta.copy()
+        for j in range(k):
+            if spread[j, j] > 0:
+                pull = spread[j, k] - spread[j, :k] @ beta + spread[j, j] * beta[j]
+                beta[j] = np.sign(pull) * max(abs(pull) - strength, 0.0) / spread[j, j]
+        if np.abs(beta - before).max(initial=0.0) < 1e-12:
+            break
+    return np.concatenate([[means[k] - beta @ means[:k]], beta])
+
+
 def lasso_cv(df: DataFrame, features: list[str], target: str, folds: int = 5, purge: int = 2, strengths: int = 20) -> tuple[float, list[tuple[float, float]]]:
-    """(best strength, (strength, mean squared error) of each): expanding training windows, tests after a gap of ``purge`` dates."""
-    calendar = df.select("date").distinct().withColumn("at", F.row_number().over(Window.orderBy("date")))
-    rows = with_vector(df.dropna(subset=[target]).join(fold_bounds(df, folds), "date").join(calendar, "date"), features).select("at", "block", "_x", F.col(target).cast("double").alias("y")).persist()
-    begins = {r["block"]: r["at"] for r in rows.groupBy("block").agg(F.min("at").alias("at")).collect()}
+    """(best strength, (strength, mean squared error) of each): expanding training windows, tests after a gap of ``purge`` dates.
+
+    One pass gives the sums of products of each stretch of dates between the folds' limits; every training and test set is a sum of
+    stretches, and fits and errors need those matrices only, which are as large as the square of the features.
+    """
+    calendar = fold_bounds(df, folds).withColumn("at", F.row_number().over(Window.orderBy("date")))  # a row a date
+    begins = {r["block"]: r["at"] for r in calendar.groupBy("block").agg(F.min("at").alias("at")).collect()}
+    tests = [f for f in range(1, folds + 1) if f in begins]
+    limits = sorted({x for f in tests for x in (begins[f] - purge, begins[f])})
+    zone = sum((F.col("at") >= x).cast("int") for x in limits) if limits else F.lit(0)
+    rows = df.dropna(subset=[target, *features]).join(calendar, "date").select(zone.alias("zone"), F.lit(1.0).alias("_1"), *features, F.col(target).alias("_y"))
+    names, by_zone = ["_1", *features, "_y"], {}
+    for r in moments(rows, names, ["zone"]).collect():
+        by_zone.setdefault(r["zone"], np.zeros((len(names), len(names))))[r["i"], r["j"]] = r["s"]
+    between = lambda low, high: sum((m for z, m in by_zone.items() if low <= z < high), np.zeros((len(names), len(names))))
+    after = lambda at: limits.index(at) + 1  # zones from here on are at or past the limit
     errors = []
     for strength in np.geomspace(1e-4, 1.0, strengths):
-        fold_errors = []
-        for fold in range(1, folds + 1):
-            if fold not in begins:
-                continue
-            train, test = rows.where((F.col("block") < fold) & (F.col("at") < begins[fold] - purge)), rows.where(F.col("block") == fold)
-            if train.isEmpty():
-                continue
-            model = LinearRegression(featuresCol="_x", labelCol="y", regParam=float(strength), elasticNetParam=1.0, standardization=False).fit(train)
-            fold_errors.append(model.transform(test).agg(F.avg(F.pow(F.col("y") - F.col("prediction"), F.lit(2.0)))).first()[0])
-        errors.append((float(strength), float(np.mean(fold_errors)) if fold_errors else float("inf")))
-    rows.unpersist()
+        of_folds = []
+        for f in tests:
+            train = between(0, after(begins[f] - purge))
+            test = between(after(begins[f]), after(begins[f + 1]) if f + 1 in begins else len(limits) + 1)
+            if train[0, 0] and test[0, 0]:
+                v = np.append(-lasso_coefficients(train, float(strength)), 1.0)
+                of_folds.append(float(v @ test @ v / test[0, 0]))
+        errors.append((float(strength), float(np.mean(of_folds)) if of_folds else float("inf")))
     return min(errors, key=lambda e: e[1])[0], errors
 
 
@@ -67,16 +96,20 @@ def permuted(rows: DataFrame, column: str, seed: int) -> DataFrame:
 
 
 def mda_importance(df: DataFrame, features: list[str], target: str, trees: int = 50, depth: int = 5, seed: int = 7) -> dict[str, float]:
-    """Rise of the forest's mean squared error when a feature is permuted."""
+    """Rise of a tree's mean squared error when a feature is permuted, averaged over the forest's trees; all trees are scored in one pass a feature."""
     rows = df.dropna(subset=[*features, target]).select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
-    rows = rows.withColumn("_id", F.xxhash64(*features, "_y")).dropDuplicates(["_id"]).persist()
+    rows = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
     assembler = VectorAssembler(inputCols=features, outputCol="_x")
     model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(assembler.transform(rows))
-    error = lambda r: model.transform(assembler.transform(r)).agg(F.avg(F.pow(F.col("_y") - F.col("prediction"), F.lit(2.0)))).first()[0]
+
+    def error(r: DataFrame) -> float:
+        made = assembler.transform(r)
+        for b, tree in enumerate(model.trees):
+            made = tree.setPredictionCol(f"_p{b}").transform(made)
+        return made.agg(sum(F.avg(F.pow(F.col("_y") - F.col(f"_p{b}"), F.lit(2.0))) for b in range(len(model.trees))) / len(model.trees)).first()[0]
+
     base = error(rows)
-    out = {f: float(error(permuted(rows, f, seed + i)) - base) for i, f in enumerate(features)}
-    rows.unpersist()
-    return out
+    return {f: float(error(permuted(rows, f, seed + i)) - base) for i, f in enumerate(features)}
 
 
 def linear_importance(df: DataFrame, features: list[str], target: str, least: int = 5) -> DataFrame:

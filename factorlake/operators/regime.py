@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,12 +103,28 @@ def forecast_ar1(series: DataFrame, horizons: list[int]) -> DataFrame:
     return ends.select("ticker", "last", "rho", F.explode(F.array(*[F.lit(x) for x in horizons])).alias("horizon")).select("ticker", "horizon", (F.col("last") * F.pow("rho", "horizon")).alias("forecast"))
 
 
-def forecast_ols(series: DataFrame, horizons: list[int]) -> DataFrame:
-    """(ticker, horizon, forecast): least squares of a value on the one before, without intercept, applied to the last and scaled by sqrt(h)."""
-    rows = series.where("value is not null").withColumn("before", F.lag("value").over(by_date()))
-    beta = F.sum(F.col("value") * F.col("before")) / F.nullif(F.sum(F.when(F.col("before").isNotNull(), F.col("before") * F.col("before"))), F.lit(0.0))
-    ends = rows.groupBy("ticker").agg(F.max_by("value", "date").alias("last"), F.coalesce(beta, F.lit(0.0)).alias("beta"))
-    return ends.select("ticker", "last", "beta", F.explode(F.array(*[F.lit(x) for x in horizons])).alias("horizon")).select("ticker", "horizon", (F.col("beta") * F.col("last") * F.sqrt("horizon")).alias("forecast"))
+def forecast_ols(panel: DataFrame, features: list[str], target: str, horizons: list[int], least: int = 10) -> DataFrame:
+    """(ticker, horizon, forecast): least squares of the target on all features, without intercept, applied to a ticker's last row of features and scaled by sqrt(h).
+
+    Sums of products are grouped by ticker; only systems as large as the square of the features are solved in Python. A ticker with ``least``
+    whole rows or fewer has coefficients 0.
+    """
+    numbers = [F.col(c).cast("double") for c in features]
+    known = panel.select("ticker", "date", F.col(target).cast("double").alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(numbers)])
+    whole = known.dropna(subset=[c for c in known.columns if c.startswith("_")])
+    k = len(features)
+    xs = [f"_x{i}" for i in range(k)]
+    products = [F.sum(F.col(a) * F.col(b)) for a in xs for b in xs]
+    sums = whole.groupBy("ticker").agg(F.count("*").alias("n"), F.array(*products).alias("xx"), F.array(*[F.sum(F.col(a) * F.col("_y")) for a in xs]).alias("xy"))
+    last = known.dropna(subset=xs).groupBy("ticker").agg(F.max_by(F.array(*xs), "date").alias("x"))
+
+    def solve(batches):
+        for rows in batches:
+            fits = [np.linalg.pinv(np.array(r.xx).reshape(k, k), rcond=1e-12, hermitian=True) @ np.array(r.xy) if r.n > least else np.zeros(k) for r in rows.itertuples()]
+            yield pd.DataFrame({"ticker": rows["ticker"], "value": [float(np.array(x) @ b) for x, b in zip(rows["x"], fits, strict=True)]})
+
+    made = last.join(sums, "ticker").mapInPandas(solve, "ticker string, value double")
+    return made.select("ticker", "value", F.explode(F.array(*[F.lit(x) for x in horizons])).alias("horizon")).select("ticker", "horizon", (F.col("value") * F.sqrt("horizon")).alias("forecast"))
 
 
 def ensemble_weights(errors: DataFrame) -> DataFrame:

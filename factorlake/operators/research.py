@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.functions.kernels import cross_z, fill_forward, frame, percent_rank
+from factorlake.functions.moments import moments, pair_moments, to_matrix
 
 KEY = ["date", "ticker"]
 
@@ -85,17 +86,11 @@ def half_life(series: DataFrame, lags: int = 30) -> DataFrame:
 
 def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Sums of all products of columns, in one pass; as large as the square of the (few) columns."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
-    made = np.zeros((len(columns), len(columns)))
-    for i, (a, b) in enumerate(pairs):
-        made[columns.index(a), columns.index(b)] = made[columns.index(b), columns.index(a)] = row[i] or 0.0
-    return made
+    return to_matrix(moments(df, columns).collect(), len(columns))
 
 
-def orthogonalise(df: DataFrame, signal: str, factors: list[str], most: int = 10) -> DataFrame:
+def orthogonalise(df: DataFrame, signal: str, factors: list[str]) -> DataFrame:
     """df with ``residual``: the signal less its projection on the factors (no intercept), and ``residual_ratio``: the ratio of their norms."""
-    factors = factors[:most]
     rows = df.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_{c}") for c in (signal, *factors)])
     sums = gram(rows, [f"_{c}" for c in (signal, *factors)])
     weights = np.linalg.pinv(sums[1:, 1:]) @ sums[1:, 0] if factors else np.zeros(0)
@@ -144,30 +139,24 @@ def ranking_report(scores: DataFrame, n: int = 50) -> DataFrame:
     return ranked.select("rank", F.col("feature").alias("signal_name"), F.round("ic", 5).alias("ic"), F.round("icir", 5).alias("icir"))
 
 
-def corr_matrix(matrix: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, r) for a before b in the order of features: Pearson over the rows that have both, one pass over the wide matrix."""
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-    made = None
-    for at in range(0, len(pairs), 500):  # aggregates that one pass computes
-        part = pairs[at : at + 500]
-        row = matrix.agg(*[_corr(features[i], features[j]).alias(f"{i}_{j}") for i, j in part])
-        long = row.unpivot([], row.columns, "pair", "r")
-        made = long if made is None else made.unionByName(long)
+def pair_covariances(matrix: DataFrame, features: list[str]) -> DataFrame:
+    """(i, j, a, b, n, cov, var_a, var_b) for every ordered pair: sample moments over the rows that have both, one pass over the wide matrix."""
     names = F.array(*[F.lit(f) for f in features])
-    at = lambda k: F.element_at(names, F.split("pair", "_")[k].cast("int") + 1)
-    return made.select(at(0).alias("a"), at(1).alias("b"), "r")
+    of = lambda xy, x, y: (F.col(xy) - F.col(x) * F.col(y) / F.col("n")) / (F.col("n") - 1)
+    some = pair_moments(matrix, features).where("n > 1")
+    return some.select("i", "j", names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "n", of("sxy", "sx", "sy").alias("cov"), of("sxx", "sx", "sx").alias("var_a"), of("syy", "sy", "sy").alias("var_b"))
 
 
-def _corr(a: str, b: str) -> Column:
-    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-    return F.covar_samp(F.col(a), F.col(b)) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
+def corr_matrix(matrix: DataFrame, features: list[str]) -> DataFrame:
+    """(a, b, r) for a before b in the order of features: Pearson over the rows that have both; null if one doesn't vary."""
+    pairs = pair_covariances(matrix, features).where("i < j")
+    r = F.when((F.col("var_a") > 0) & (F.col("var_b") > 0), F.col("cov") / F.sqrt(F.col("var_a") * F.col("var_b")))
+    return pairs.select("a", "b", r.alias("r"))
 
 
 def cov_matrix(matrix: DataFrame, features: list[str]) -> DataFrame:
     """(a, b, cov) for a up to b: sample covariance over the rows that have both."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    row = matrix.agg(*[F.covar_samp(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    return row.unpivot([], row.columns, "pair", "cov").select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "cov")
+    return pair_covariances(matrix, features).where("i <= j").select("a", "b", "cov")
 
 
 def redundant_features(correlations: DataFrame, most: float = 0.95) -> DataFrame:
@@ -189,9 +178,9 @@ def screen_collinear(correlations: DataFrame, scores: DataFrame, features: list[
 
 def winsorize_rolling(panel: DataFrame, column: str, n: int = 252, least: int = 10, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """panel with the column clipped to its ticker's rolling quantiles; without enough values to those of its whole series."""
-    count = f"count({column}) {frame(n)}"
-    for name, p in (("_lo", low), ("_hi", high)):
-        panel = panel.withColumn(name, F.expr(f"coalesce(CASE WHEN {count} >= {least} THEN percentile({column}, {p}D) {frame(n)} END, percentile({column}, {p}D) OVER (PARTITION BY ticker))"))
+    both = f"percentile({column}, array({low}D, {high}D))"
+    bounds = f"coalesce(CASE WHEN count({column}) {frame(n)} >= {least} THEN {both} {frame(n)} END, {both} OVER (PARTITION BY ticker))"
+    panel = panel.withColumn("_both", F.expr(bounds)).withColumns({"_lo": F.col("_both")[0], "_hi": F.col("_both")[1]}).drop("_both")
     clipped = F.when(F.col(column) < F.col("_lo"), F.col("_lo")).when(F.col(column) > F.col("_hi"), F.col("_hi")).otherwise(F.col(column))
     return panel.withColumn(column, clipped).drop("_lo", "_hi")
 

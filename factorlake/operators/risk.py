@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorlake.functions.staging import cut
+
 
 def transaction_cost(q: Column, adv: Column, volatility: Column, price: Column, commission: float = 0.0005, spread: float = 0.0010) -> Column:
     """|q| times half spread, commission and square-root impact; 0 without a trade or volume."""
@@ -119,10 +121,10 @@ def candidate_portfolio_search(checked: DataFrame) -> DataFrame:
     return best.where("x is not null").select("x.portfolio", "x.cvar", "x.mu")
 
 
-def candidate_weights(spark, tickers: list[str], n: int, seed: int = 7) -> DataFrame:
-    """n random weight vectors (normalised exponentials) over a list of tickers, made where they are used."""
-    rows = spark.range(n).select(F.col("id").alias("portfolio"), F.posexplode(F.array(*[F.lit(t) for t in tickers])).alias("at", "ticker"))
-    drawn = rows.withColumn("e", -F.log((F.pmod(F.xxhash64("portfolio", "at", F.lit(seed)), F.lit(1_000_003)) + 1) / 1_000_004.0))
+def candidate_weights(tickers: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """(portfolio, ticker, weight): n random weight vectors (normalised exponentials) over tickers(ticker), made where they are used."""
+    rows = tickers.select("ticker").withColumn("portfolio", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    drawn = rows.withColumn("e", -F.log((F.pmod(F.xxhash64("portfolio", "ticker", F.lit(seed)), F.lit(1_000_003)) + 1) / 1_000_004.0))
     return drawn.select("portfolio", "ticker", (F.col("e") / F.sum("e").over(Window.partitionBy("portfolio"))).alias("weight"))
 
 
@@ -135,7 +137,8 @@ def bl_posterior(views: DataFrame, tau: float = 0.05) -> DataFrame:
     """Black-Litterman posterior means of many universes: (universe, ticker, mu).
 
     views: one row for each universe with tickers array<string>, pi array<double>, sigma and p array<array<double>>, q and omega
-    array<double> (omega: variances of views). A universe's matrices are as large as its list of tickers; a singular system gives pi.
+    array<double> (omega: variances of views). A universe's matrices are given whole, so this is for short lists of tickers; ``bl_update`` works from
+    returns and has no such matrix. A singular system gives pi.
     """
 
     def solve(batches):
@@ -156,6 +159,46 @@ def bl_posterior(views: DataFrame, tau: float = 0.05) -> DataFrame:
     return views.mapInPandas(solve, "universe string, ticker string, mu double")
 
 
+def bl_update(returns: DataFrame, views: DataFrame, quotes: DataFrame, tau: float = 0.05) -> DataFrame:
+    """Black-Litterman posterior means of many universes with few views: (universe, ticker, mu).
+
+    returns (universe, ticker, date, r), the prior of a ticker being its mean; views (universe, view, ticker, p); quotes (universe, view, q,
+    omega). A view is a portfolio, so its covariance with each ticker is that of two return series, over the dates on which all of the
+    view's tickers have one: joins and grouped sums give it, and only systems as large as the views are solved in Python. A view without
+    two such dates is left out, and a singular system leaves the prior.
+    """
+    prior = returns.groupBy("universe", "ticker").agg(F.avg("r").alias("pi"))
+    legs = views.groupBy("universe", "view").agg(F.count("*").alias("legs"))
+    moved = returns.join(views, ["universe", "ticker"]).groupBy("universe", "view", "date").agg(F.sum(F.col("r") * F.col("p")).alias("v"), F.count("*").alias("n"))
+    series = cut(moved.join(legs, ["universe", "view"]).where("n = legs").select("universe", "view", "date", "v"))
+    cross = returns.join(series, ["universe", "date"]).groupBy("universe", "view", "ticker").agg(F.covar_samp("r", "v").alias("c"))
+    both = series.join(series.select("universe", "date", F.col("view").alias("other"), F.col("v").alias("w")), ["universe", "date"])
+    inner = both.groupBy("universe", "view", "other").agg(F.covar_samp("v", "w").alias("c")).where("c is not null").groupBy("universe").agg(F.collect_list(F.struct("view", "other", "c")).alias("cov"))
+    expected = views.join(prior, ["universe", "ticker"]).groupBy("universe", "view").agg(F.sum(F.col("p") * F.col("pi")).alias("m"))
+    asked = quotes.join(expected, ["universe", "view"]).groupBy("universe").agg(F.collect_list(F.struct("view", "omega", (F.col("q") - F.col("m")).alias("gap"))).alias("asked"))
+
+    def solve(batches):
+        for rows in batches:
+            out = {"universe": [], "view": [], "w": []}
+            for r in rows.itertuples(index=False):
+                known = {(c["view"], c["other"]): c["c"] for c in r.cov}
+                names = sorted(a["view"] for a in r.asked if (a["view"], a["view"]) in known)
+                by_name = {a["view"]: a for a in r.asked}
+                system = np.array([[tau * known.get((a, b), 0.0) + (by_name[a]["omega"] if a == b else 0.0) for b in names] for a in names])
+                try:
+                    weights = np.linalg.solve(system, np.array([by_name[a]["gap"] for a in names])) if names else np.zeros(0)
+                except np.linalg.LinAlgError:
+                    weights = np.zeros(len(names))
+                out["universe"] += [r.universe] * len(names)
+                out["view"] += names
+                out["w"] += weights.tolist()
+            yield pd.DataFrame(out)
+
+    solved = asked.join(inner, "universe").mapInPandas(solve, "universe string, view string, w double")
+    shift = cross.join(solved, ["universe", "view"]).groupBy("universe", "ticker").agg(F.sum(tau * F.coalesce("c", F.lit(0.0)) * F.col("w")).alias("d"))
+    return prior.join(shift, ["universe", "ticker"], "left").select("universe", "ticker", (F.col("pi") + F.coalesce("d", F.lit(0.0))).alias("mu"))
+
+
 def brinson_attribution(portfolio: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(segment, allocation, selection, interaction, total), and a row ``TOTAL``; sides are (segment, weight, r), missing segments 0."""
     p, b = portfolio.select("segment", F.col("weight").alias("wp"), F.col("r").alias("rp")), benchmark.select("segment", F.col("weight").alias("wb"), F.col("r").alias("rb"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ def chunk_paragraph(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("chunk_index").cast("string")).alias("chunk_id"), "doc_id", "chunk_index", "text")
 
 
-def chunk_overlap(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 64) -> DataFrame:
+def chunk_fixed(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 64) -> DataFrame:
     """(chunk_id, doc_id, chunk_index, text): pieces of ``size`` characters, each beginning ``overlap`` before the end of the one before."""
     stride, n = size - overlap, F.length(text_col)
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.ceil((n - overlap) / stride).cast("int") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
@@ -43,6 +46,54 @@ def chunk_overlap(docs: DataFrame, id_col: str, text_col: str, size: int = 512,
     return rows.select(F.format_string("%s_chunk_%04d", F.col("doc_id").cast("string"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", piece.alias("text"))
 
 
+#: Where a text may be cut, the best first.
+SEPARATORS = ("\n\n", "\n", ". ", " ")
+
+
+def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of at most ``size`` characters that end at the best separator a text has; neighbours share whole parts of up to ``overlap`` characters.
+
+    A part begins with the separator before it. One that is too long is split at the next separators, or stays whole if it has none.
+    """
+    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
+    first, *others = text.split(separators[at])
+    out: list[str] = []
+    held: deque[str] = deque()
+    length = 0
+
+    def emit() -> None:
+        piece = "".join(held).strip()
+        if piece:
+            out.append(piece)
+
+    for part in filter(None, [first, *(separators[at] + p for p in others)]):
+        if len(part) >= size:
+            emit()
+            held.clear()
+            length = 0
+            out += split_text(part, size, overlap, separators[at + 1 :]) if separators[at + 1 :] else [part]
+            continue
+        if held and length + len(part) > size:
+            emit()
+            while held and (length > overlap or length + len(part) > size):
+                length -= len(held.popleft())
+        held.append(part)
+        length += len(part)
+    emit()
+    return out
+
+
+def chunk_overlap(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 64) -> DataFrame:
+    """(chunk_id, doc_id, chunk_index, text): overlapping pieces that end at paragraphs, lines, sentences or words, by ``split_text``."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_text(t, size, overlap) if t else [])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pieces(F.coalesce(F.col(text_col), F.lit("")))).alias("chunk_index", "text"))
+    return rows.select(F.format_string("%s_chunk_%04d", F.col("doc_id").cast("string"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "text")
+
+
 FACTS = "array<struct<signal_name:string,description:string,asset_class:string,holding_period:string,formation_period:string,ic_reported:double,sharpe_reported:double,return_reported:double,paper_title:string,year:int>>"
 
 

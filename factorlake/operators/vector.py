@@ -14,9 +14,19 @@ def hash_embedding(text: Column, size: int = 16) -> Column:
     return F.transform(parts, lambda x: x / F.nullif(norm(parts), F.lit(0.0)))
 
 
-def _topk(queries: DataFrame, vectors: DataFrame, score: Column, k: int, largest: bool) -> DataFrame:
-    """The k best vectors of each query. A task keeps its own k best of each query first, so the shuffle carries k rows a task and query."""
-    pairs = vectors.crossJoin(queries).select("query_id", "vec_id", score.alias("score")).withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+#: Queries up to this number are sent to every task whole.
+BROADCAST_QUERIES = 10_000
+
+
+def _topk(queries: DataFrame, vectors: DataFrame, score: Column, k: int, largest: bool, others: bool = False) -> DataFrame:
+    """The k best vectors of each query; with ``others`` none is its own neighbour. A task keeps its own k best of each query first, so the shuffle carries k rows a task and query.
+
+    A query set within BROADCAST_QUERIES is broadcast; a larger one meets the vectors in blocks of partitions, none of them whole.
+    """
+    asked = F.broadcast(queries) if queries.count() <= BROADCAST_QUERIES else queries
+    pairs = vectors.crossJoin(asked)
+    pairs = pairs.where("vec_id <> query_id") if others else pairs
+    pairs = pairs.select("query_id", "vec_id", score.alias("score")).withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     best = F.desc("score") if largest else F.asc("score")
     local = pairs.withColumn("_at", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(best, "vec_id"))).where(F.col("_at") <= k)
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "vec_id"))).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
@@ -27,13 +37,13 @@ def knn_l2(queries: DataFrame, vectors: DataFrame, k: int = 15) -> DataFrame:
     return _topk(queries, vectors, F.sqrt(squared_distance(F.col("q"), F.col("v"))), k, largest=False)
 
 
-def knn_cosine(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
-    return _topk(queries, vectors, F.coalesce(cosine(F.col("q"), F.col("v")), F.lit(0.0)), k, largest=True)
+def knn_cosine(queries: DataFrame, vectors: DataFrame, k: int = 20, others: bool = False) -> DataFrame:
+    return _topk(queries, vectors, F.coalesce(cosine(F.col("q"), F.col("v")), F.lit(0.0)), k, largest=True, others=others)
 
 
 def near_duplicate(candidates: DataFrame, registry: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(query_id, max_similarity, duplicate): against all of a registry; an empty one gives 0."""
-    best = knn_cosine(candidates, registry, 1).select("query_id", F.col("score").alias("m"))
+    """(query_id, max_similarity, duplicate): against all of a registry but the candidate itself; an empty one gives 0."""
+    best = knn_cosine(candidates, registry, 1, others=True).select("query_id", F.col("score").alias("m"))
     joined = candidates.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("m", F.lit(0.0)).alias("max_similarity"))
     return joined.withColumn("duplicate", F.col("max_similarity") > threshold)
 

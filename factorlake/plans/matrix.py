@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factorlake.functions.kernels import apply_layers
 from factorlake.functions.scalar import six_digits
+from factorlake.functions.staging import cut
 from factorlake.operators import panel as P
 from factorlake.plans import features as families
 
@@ -18,33 +19,38 @@ def dense(bars: DataFrame) -> DataFrame:
     return P.returns(P.panel_densify(bars))
 
 
+def staged(bars: DataFrame) -> DataFrame:
+    """The dense panel, computed once for all families that use it."""
+    return cut(dense(bars))
+
+
 def priced(df: DataFrame, names: list[str]) -> DataFrame:
     return df.where(F.col("adj_close").isNotNull()).select(*KEY, *names)
 
 
-def momentum(bars: DataFrame) -> tuple[DataFrame, list[str]]:
+def momentum(bars: DataFrame, grid: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     layers, names = families.momentum()
-    return priced(apply_layers(P.with_emas(dense(bars)), layers), names), names
+    return priced(apply_layers(P.with_emas(grid or dense(bars)), layers), names), names
 
 
-def volatility(bars: DataFrame) -> tuple[DataFrame, list[str]]:
+def volatility(bars: DataFrame, grid: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     layers, names = families.volatility({"high", "low"} <= set(bars.columns))
-    return priced(apply_layers(dense(bars), layers), names), names
+    return priced(apply_layers(grid or dense(bars), layers), names), names
 
 
-def volume(bars: DataFrame) -> tuple[DataFrame, list[str]]:
+def volume(bars: DataFrame, grid: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     layers, names = families.volume({"high", "low"} <= set(bars.columns))
-    return priced(apply_layers(dense(bars), layers), names), names
+    return priced(apply_layers(grid or dense(bars), layers), names), names
 
 
-def technical(bars: DataFrame) -> tuple[DataFrame, list[str]]:
+def technical(bars: DataFrame, grid: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     layers, names = families.technical()
-    return priced(apply_layers(P.ranged(dense(bars)), layers), names), names
+    return priced(apply_layers(P.ranged(grid or dense(bars)), layers), names), names
 
 
-def value(bars: DataFrame, fundamentals: DataFrame) -> tuple[DataFrame, list[str]]:
+def value(bars: DataFrame, fundamentals: DataFrame, grid: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     layers, names = families.value()
-    return priced(apply_layers(P.asof_fundamentals(dense(bars), fundamentals), layers), names), names
+    return priced(apply_layers(P.asof_fundamentals(grid or dense(bars), fundamentals), layers), names), names
 
 
 def quality(fundamentals: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -53,9 +59,9 @@ def quality(fundamentals: DataFrame) -> tuple[DataFrame, list[str]]:
     return apply_layers(grid, layers).where("_held").select(*KEY, *names), names
 
 
-def alternative(bars: DataFrame, fundamentals: DataFrame) -> tuple[DataFrame, list[str]]:
+def alternative(bars: DataFrame, fundamentals: DataFrame, grid: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     layers, names = families.alternative()
-    joined = P.with_home_sector(P.asof_fundamentals(dense(bars), fundamentals))
+    joined = P.with_home_sector(P.asof_fundamentals(grid or dense(bars), fundamentals))
     return priced(apply_layers(joined, layers), names), names
 
 
@@ -65,12 +71,14 @@ def base_factory(bars: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def groups(bars: DataFrame, fundamentals: DataFrame | None) -> list[tuple[DataFrame, list[str]]]:
-    """Feature groups in the order in which names win."""
-    made = [momentum(bars)]
+    """Feature groups in the order in which names win; all on one panel, and one table of fundamentals, computed once."""
+    grid = staged(bars)
+    made = [momentum(bars, grid)]
     if fundamentals is not None:
-        made += [value(bars, fundamentals), quality(fundamentals)]
-    made += [volatility(bars), volume(bars), technical(bars)]
-    return made + ([alternative(bars, fundamentals)] if fundamentals is not None else [])
+        fundamentals = cut(fundamentals)
+        made += [value(bars, fundamentals, grid), quality(fundamentals)]
+    made += [volatility(bars, grid), volume(bars, grid), technical(bars, grid)]
+    return made + ([alternative(bars, fundamentals, grid)] if fundamentals is not None else [])
 
 
 def all_features(bars: DataFrame, fundamentals: DataFrame | None = None) -> tuple[DataFrame, list[str]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlake.functions.kernels import dialect, layers_sql
+from factorlake.functions.staging import cut
 from factorlake.operators import panel as P
 from factorlake.plans import features as families
 from factorlake.plans import matrix
@@ -120,6 +121,18 @@ def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.unpivot([], names, "feature", "n")
 
 
+@registry.add()
+def ic_icir_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature, ic, icir) of every feature of the whole matrix, in one job."""
+    from factorlake.operators import research
+
+    bars = derived.bars(spark, sf_dir)
+    whole, names = matrix.all_features(bars, derived.fundamentals(spark, sf_dir))
+    forward = research.forward_returns(matrix.dense(bars), 4)
+    numbers = cut(whole.select("date", "ticker", *[F.col(n).cast("double").alias(n) for n in names]))
+    return research.ic_icir(research.ic_series(matrix.long(numbers, names), forward))
+
+
 @registry.add(f"""WITH RECURSIVE {_CTES}, features AS (SELECT ticker, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in _COMPOSITES)} FROM composites), long AS (UNPIVOT features ON {', '.join(_COMPOSITES)} INTO NAME feature VALUE value)
   SELECT feature, ticker, count(*) AS n, {six('min(value)', 'lo')}, {six('max(value)', 'hi')}, {six('avg(value)', 'mean')} FROM long GROUP BY 1, 2""")
 def features_composite(spark: SparkSession, sf_dir: str) -> DataFrame:

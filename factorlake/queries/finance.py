@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorlake.functions.staging import cut
 from factorlake.operators import causal, graph, regime, risk
 from factorlake.sources import derived
 
@@ -75,14 +76,19 @@ weights AS (SELECT portfolio, ticker, raw / sum(raw) OVER (PARTITION BY portfoli
 pnl AS (SELECT portfolio, date, sum(returns * weight) AS pnl FROM small JOIN weights USING (ticker) WHERE returns IS NOT NULL GROUP BY 1, 2)"""
 
 
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small panel, computed once for queries that use it several times."""
+    return cut(small(spark, sf_dir))
+
+
 def weights(spark: SparkSession, panel: DataFrame) -> DataFrame:
     raw = 1.0 / (1 + (F.col("ticker").cast("int") * (F.col("portfolio") + 3)) % 7)
     rows = panel.select("ticker").distinct().crossJoin(spark.range(5).withColumnRenamed("id", "portfolio")).withColumn("weight", raw)
     return risk.weight_clip_normalise(rows, 2.0).select("portfolio", "ticker", "weight")
 
 
-def pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = small(spark, sf_dir).where("returns is not null")
+def pnl(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
+    panel = (panel or staged(spark, sf_dir)).where("returns is not null")
     return risk.scenario_pnl(panel.select("date", "ticker", F.col("returns").alias("r")), weights(spark, panel))
 
 
@@ -96,7 +102,7 @@ _VAR = f"{_PNL}, v AS (SELECT portfolio, quantile_cont(pnl, 0.05) AS var FROM pn
 
 @registry.add(f"WITH {_VAR} SELECT portfolio, {six('var', 'var')}, {six('cvar', 'cvar')} FROM cvar")
 def empirical_var_cvar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(risk.empirical_var_cvar(pnl(spark, sf_dir)), "var", "cvar")
+    return shown(risk.empirical_var_cvar(cut(pnl(spark, sf_dir))), "var", "cvar")
 
 
 @registry.add(f"""WITH {_PNL}, g AS (SELECT a.portfolio, -a.pnl AS g, -a.pnl + sum(greatest(-b.pnl + a.pnl, 0)) / (0.05 * count(*)) AS v FROM pnl a JOIN pnl b ON b.portfolio = a.portfolio GROUP BY a.portfolio, a.date, a.pnl)
@@ -111,9 +117,9 @@ flags AS (SELECT *, cvar <= 0.2 AND mu >= 0 AND total BETWEEN 0.9 AND 1.1 AND lo
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = small(spark, sf_dir)
+    panel = staged(spark, sf_dir)
     mu = panel.groupBy("ticker").agg(F.avg("returns").alias("mu"))
-    return risk.constraint_check(weights(spark, panel.where("returns is not null")), mu, risk.empirical_var_cvar(pnl(spark, sf_dir)).select("portfolio", "cvar"), most_cvar=0.2)
+    return risk.constraint_check(weights(spark, panel.where("returns is not null")), mu, risk.empirical_var_cvar(cut(pnl(spark, sf_dir, panel))).select("portfolio", "cvar"), most_cvar=0.2)
 
 
 @registry.add(f"WITH {_CHECK} SELECT portfolio, {six('total', 'total')}, {six('mu', 'mu')}, {six('cvar', 'cvar')}, feasible FROM flags")
@@ -156,21 +162,33 @@ def brinson_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add()
+def candidate_weights_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of 64 random weight vectors over all tickers."""
+    panel = staged(spark, sf_dir)
+    drawn = cut(risk.candidate_weights(panel.select("ticker").distinct(), 64))
+    gains = cut(risk.scenario_pnl(panel.where("returns is not null").select("date", "ticker", F.col("returns").alias("r")), drawn))
+    mu = panel.groupBy("ticker").agg(F.avg("returns").alias("mu"))
+    found = risk.constraint_check(drawn, mu, risk.empirical_var_cvar(gains).select("portfolio", "cvar"), most_cvar=0.2)
+    return shown(risk.candidate_portfolio_search(found), "cvar", "mu")
+
+
+@registry.add(f"""WITH {SMALL}, {FUNDAMENTALS}, u AS (SELECT sector AS universe, ticker, date, returns AS r FROM small JOIN (SELECT DISTINCT ticker, sector FROM fundamentals) USING (ticker) WHERE returns IS NOT NULL),
+  t AS (SELECT universe, ticker, row_number() OVER (PARTITION BY universe ORDER BY ticker) AS k FROM (SELECT DISTINCT universe, ticker FROM u)), ut AS (SELECT * FROM u JOIN t USING (universe, ticker)),
+  vs AS (SELECT a.universe, a.date, a.r - b.r AS v FROM ut a JOIN ut b ON b.universe = a.universe AND b.date = a.date AND a.k = 1 AND b.k = 2), vv AS (SELECT universe, var_samp(v) AS vv FROM vs GROUP BY 1),
+  pi AS (SELECT universe, ticker, k, avg(r) AS pi FROM ut GROUP BY 1, 2, 3), gap AS (SELECT universe, 0.01 - sum(CASE k WHEN 1 THEN pi ELSE -pi END) AS gap FROM pi WHERE k <= 2 GROUP BY 1),
+  c AS (SELECT u.universe, u.ticker, covar_samp(r, v) AS c FROM u JOIN vs ON vs.universe = u.universe AND vs.date = u.date GROUP BY 1, 2)
+  SELECT pi.universe, pi.ticker, {six('pi + coalesce(0.05 * c / (0.05 * vv + 0.02) * gap, 0)', 'mu')} FROM pi LEFT JOIN c ON c.universe = pi.universe AND c.ticker = pi.ticker LEFT JOIN vv ON vv.universe = pi.universe LEFT JOIN gap ON gap.universe = pi.universe""")
 def bl_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior means by sector: the tickers of a sector are a universe, with one view that the first beats the second."""
-    panel = small(spark, sf_dir).where("returns is not null").join(derived.fundamentals(spark, sf_dir).select("ticker", F.col("sector").alias("universe")).distinct(), "ticker")
     from pyspark.sql import Window
 
-    tickers = panel.select("universe", "ticker").distinct().withColumn("k", F.row_number().over(Window.partitionBy("universe").orderBy("ticker")))
-    rows = panel.join(tickers, ["universe", "ticker"]).select("universe", "k", "ticker", "date", "returns")
-    cov = rows.alias("a").join(rows.alias("b"), (F.col("a.universe") == F.col("b.universe")) & (F.col("a.date") == F.col("b.date"))).groupBy(F.col("a.universe").alias("universe"), F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.coalesce(F.covar_samp("a.returns", "b.returns"), F.lit(0.0)).alias("c"))
-    lines = cov.groupBy("universe", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))), lambda x: x["c"]).alias("line"))
-    sigma = lines.groupBy("universe").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("sigma"))
-    pi = rows.groupBy("universe", "k", "ticker").agg(F.avg("returns").alias("m")).groupBy("universe").agg(F.array_sort(F.collect_list(F.struct("k", "ticker", "m"))).alias("x"))
-    view = F.concat(F.array(F.lit(1.0), F.lit(-1.0)), F.array_repeat(F.lit(0.0), F.size("x") - 2))
-    whole = F.size("sigma") == F.size("x")
-    views = pi.join(sigma, "universe").where((F.size("x") >= 2) & whole & F.forall("sigma", lambda line: F.size(line) == F.size("x"))).select("universe", F.col("x.ticker").alias("tickers"), F.col("x.m").alias("pi"), "sigma", F.array(view).alias("p"), F.array(F.lit(0.01)).alias("q"), F.array(F.lit(0.02)).alias("omega"))
-    return shown(risk.bl_posterior(views), "mu")
+    sector = derived.fundamentals(spark, sf_dir).select("ticker", F.col("sector").alias("universe")).distinct()
+    rows = cut(small(spark, sf_dir).where("returns is not null").join(sector, "ticker").select("universe", "ticker", "date", F.col("returns").alias("r")))
+    first = rows.select("universe", "ticker").distinct().withColumn("k", F.row_number().over(Window.partitionBy("universe").orderBy("ticker"))).where("k <= 2")
+    pairs = first.withColumn("n", F.count("*").over(Window.partitionBy("universe"))).where("n = 2")
+    views = pairs.select("universe", F.lit("first").alias("view"), "ticker", F.when(F.col("k") == 1, 1.0).otherwise(-1.0).alias("p"))
+    quotes = pairs.where("k = 1").select("universe", F.lit("first").alias("view"), F.lit(0.01).alias("q"), F.lit(0.02).alias("omega"))
+    return shown(risk.bl_update(rows, views, quotes), "mu")
 
 
 # causal checks
@@ -227,8 +245,8 @@ def orient_colliders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add()
 def latent_confounder_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = small(spark, sf_dir)
-    edges, sepsets = causal.ci_skeleton(panel, VARIABLES)
+    panel = staged(spark, sf_dir)
+    edges, sepsets = map(cut, causal.ci_skeleton(panel, VARIABLES))
     return causal.latent_confounder_edges(edges, causal.orient_colliders(edges, sepsets), causal.pair_correlations(panel, VARIABLES))
 
 
@@ -247,17 +265,15 @@ def dml_ate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal.dml_linear(keyed(spark, sf_dir), "vol20", "ret5", "fwd", group="ticker")
 
 
-_V = "whole w, (SELECT avg(fwd) AS my, avg(ret5) AS mt FROM whole)"
-
-
-@registry.add(f"""WITH {_WHOLE}, r AS (SELECT ret5 - mt AS v, fwd - my AS u FROM {_V}), s AS (SELECT sum(v * v) AS vv, sum(v * u) AS vu, count(*) AS n FROM r),
-  e AS (SELECT n, vu / vv AS ate, v, (u - vu / vv * v) / (1 - least(1.0 / n + v * v / (vv + 1e-9), 0.99)) AS e, vv FROM r, s)
-  SELECT {six('max(ate)', 'ate')}, {six('sqrt(sum(v * v * e * e / (vv * vv)))', 'se')}, max(n) AS n FROM e""")
+@registry.add(f"""WITH {_WHOLE}, r AS (SELECT CASE WHEN ret5 > 0 THEN 1.0 ELSE 0.0 END AS t, fwd AS y FROM whole), a AS (SELECT avg(t) AS m, avg(y) AS l FROM r), f AS (SELECT (t - m) * (y - l) / (m * (1 - m)) AS f FROM r, a),
+  s AS (SELECT avg(f) AS ate, count(*) AS n, var_pop(f) * count(*) AS ss FROM f), e AS (SELECT ate, n, (f - ate) / (1 - least(1.0 / n + power(f - ate, 2) / (ss + 1e-9), 0.99)) AS e FROM f, s)
+  SELECT {six('max(ate)', 'ate')}, {six('sqrt(greatest(avg(e * e) / max(n), 1e-12))', 'se')}, max(n) AS n FROM e""")
 def hc3_se_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = small(spark, sf_dir).dropna(subset=VARIABLES)
-    means = rows.agg(F.avg("fwd").alias("my"), F.avg("ret5").alias("mt"))
-    residuals = rows.crossJoin(means).select((F.col("ret5") - F.col("mt")).alias("v"), (F.col("fwd") - F.col("my")).alias("u"))
-    return shown(causal.hc3_se_pvalue(residuals, []).select("ate", "se", "n"), "ate", "se")
+    """Influence values of a rise over the last five weeks on the next four weeks' return, with the shares and means of all rows as nuisances."""
+    rows = staged(spark, sf_dir).dropna(subset=VARIABLES).select((F.col("ret5") > 0).cast("double").alias("t"), F.col("fwd").alias("y"))
+    facts = rows.agg(F.avg("t").alias("m"), F.avg("y").alias("l"))
+    influence = rows.crossJoin(facts).select(((F.col("t") - F.col("m")) * (F.col("y") - F.col("l")) / (F.col("m") * (1 - F.col("m")))).alias("influence"))  # one row
+    return shown(causal.hc3_se_pvalue(influence).select("ate", "se", "n"), "ate", "se")
 
 
 @registry.add(f"""WITH {_WHOLE}, c AS (SELECT corr(fwd, vol20) AS a, corr(fwd, ret5) AS b, corr(vol20, ret5) AS c FROM whole), d AS (SELECT a * a AS reduced, (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS full_r2 FROM c)
@@ -335,14 +351,30 @@ def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small(spark, sf_dir).select("ticker", "date", F.col("close").alias("value"))
 
 
-_ENDS = f"{SMALL}, s AS (SELECT ticker, date, close AS value, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS before FROM small), h AS (SELECT unnest([1, 5]) AS horizon)"
+HELD_BACK = 5
+
+
+def _ends(rows: str) -> str:
+    """Tables of the series s from rows (ticker, date, close), with its last two values before each."""
+    w = "OVER (PARTITION BY ticker ORDER BY date)"
+    return f"s AS (SELECT ticker, date, close AS value, lag(close) {w} AS before, lag(close, 2) {w} AS before2 FROM {rows}), h AS (SELECT unnest([1, {HELD_BACK}]) AS horizon)"
+
+
+_ENDS = f"{SMALL}, {_ends('small')}"
 _FORECASTS = {
     "drift": "SELECT ticker, horizon, last + horizon * (last - first) / n AS forecast FROM (SELECT ticker, arg_min(value, date) AS first, arg_max(value, date) AS last, count(*) AS n FROM s GROUP BY 1), h",
     "ar1": "SELECT ticker, horizon, last * power(rho, horizon) AS forecast FROM (SELECT ticker, arg_max(value, date) AS last, coalesce(corr(value, before), 0) AS rho FROM s GROUP BY 1), h",
-    "ols": "SELECT ticker, horizon, beta * last * sqrt(horizon) AS forecast FROM (SELECT ticker, arg_max(value, date) AS last, sum(value * before) / sum(before * before) AS beta FROM s GROUP BY 1), h",
+    "ols": """SELECT ticker, horizon, CASE WHEN n > 10 THEN ((s22 * t1 - s12 * t2) * x1 + (s11 * t2 - s12 * t1) * x2) / (s11 * s22 - s12 * s12) ELSE 0 END * sqrt(horizon) AS forecast FROM (SELECT ticker, count(*) AS n, sum(before * before) AS s11, sum(before * before2) AS s12,
+      sum(before2 * before2) AS s22, sum(before * value) AS t1, sum(before2 * value) AS t2, arg_max(before, date) AS x1, arg_max(before2, date) AS x2 FROM s WHERE before2 IS NOT NULL GROUP BY 1), h""",
 }
 
 
+def ols(series: DataFrame, horizons: list[int]) -> DataFrame:
+    """Least squares on the two values before."""
+    w = regime.by_date()
+    return regime.forecast_ols(series.withColumns({"before": F.lag("value").over(w), "before2": F.lag("value", 2).over(w)}), ["before", "before2"], "value", horizons)
+
+
 @registry.add(f"WITH {_ENDS} SELECT ticker, horizon, {six('forecast', 'forecast')} FROM ({_FORECASTS['drift']})")
 def forecast_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(regime.forecast_drift(closes(spark, sf_dir), [1, 5]), "forecast")
@@ -355,34 +387,43 @@ def forecast_ar1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(f"WITH {_ENDS} SELECT ticker, horizon, {six('forecast', 'forecast')} FROM ({_FORECASTS['ols']})")
 def forecast_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(regime.forecast_ols(closes(spark, sf_dir), [1, 5]), "forecast")
+    return shown(ols(closes(spark, sf_dir), [1, 5]), "forecast")
 
 
 _ALL = " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({sql})" for m, sql in _FORECASTS.items())
-_ERRORS = f"{_ENDS}, f AS ({_ALL}), last AS (SELECT ticker, arg_max(value, date) AS last FROM s GROUP BY 1), e AS (SELECT model, power(forecast - last, 2) AS mse FROM f JOIN last USING (ticker)), iw AS (SELECT model, 1 / greatest(avg(mse), 1e-10) AS w FROM e GROUP BY 1), ew AS (SELECT model, w / sum(w) OVER () AS weight FROM iw)"
+_ERRORS = f"""{SMALL}, back AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM small),
+ew AS (WITH {_ends(f'(SELECT * FROM back WHERE k > {HELD_BACK})')}, f AS ({_ALL}), e AS (SELECT model, power(forecast - close, 2) AS mse FROM f JOIN back ON back.ticker = f.ticker AND k = {HELD_BACK + 1} - horizon),
+  iw AS (SELECT model, 1 / greatest(avg(mse), 1e-10) AS w FROM e GROUP BY 1) SELECT model, w / sum(w) OVER () AS weight FROM iw),
+{_ends('small')}, f AS ({_ALL})"""
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, whole = {"drift": regime.forecast_drift, "ar1": regime.forecast_ar1, "ols": regime.forecast_ols}, None
-    for name, f in made.items():
-        part = f(closes(spark, sf_dir), [1, 5]).withColumn("model", F.lit(name))
+def forecasts(spark: SparkSession, sf_dir: str, series: DataFrame | None = None) -> DataFrame:
+    series, whole = series or cut(closes(spark, sf_dir)), None
+    for name, f in {"drift": regime.forecast_drift, "ar1": regime.forecast_ar1, "ols": ols}.items():
+        part = f(series, [1, HELD_BACK]).withColumn("model", F.lit(name))
         whole = part if whole is None else whole.unionByName(part)
     return whole
 
 
-def model_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = closes(spark, sf_dir).groupBy("ticker").agg(F.max_by("value", "date").alias("last"))
-    return regime.ensemble_weights(forecasts(spark, sf_dir).join(last, "ticker").select("model", F.pow(F.col("forecast") - F.col("last"), F.lit(2.0)).alias("mse")))
+def model_weights(spark: SparkSession, sf_dir: str, series: DataFrame) -> DataFrame:
+    """Weights by the errors of forecasts from all but a ticker's last HELD_BACK values, against those."""
+    from pyspark.sql import Window
+
+    back = cut(series.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))))
+    actual = back.where(F.col("k") <= HELD_BACK).select("ticker", (HELD_BACK + 1 - F.col("k")).alias("horizon"), F.col("value").alias("actual"))
+    made = forecasts(spark, sf_dir, back.where(F.col("k") > HELD_BACK).drop("k")).join(actual, ["ticker", "horizon"])
+    return regime.ensemble_weights(made.select("model", F.pow(F.col("forecast") - F.col("actual"), F.lit(2.0)).alias("mse")))
 
 
 @registry.add(f"WITH {_ERRORS} SELECT model, {six('weight', 'weight')} FROM ew")
 def ensemble_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(model_weights(spark, sf_dir), "weight")
+    return shown(model_weights(spark, sf_dir, cut(closes(spark, sf_dir))), "weight")
 
 
 @registry.add(f"WITH {_ERRORS} SELECT ticker, horizon, {six('sum(forecast * weight)', 'forecast')} FROM f JOIN ew USING (model) GROUP BY 1, 2")
 def ensemble_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(regime.ensemble_combine(forecasts(spark, sf_dir), model_weights(spark, sf_dir)), "forecast")
+    series = cut(closes(spark, sf_dir))
+    return shown(regime.ensemble_combine(forecasts(spark, sf_dir, series), cut(model_weights(spark, sf_dir, series))), "forecast")
 
 
 # graphs
@@ -393,7 +434,7 @@ _EDGES = "edges AS (SELECT src, dst, c AS weight FROM cc WHERE abs(c) >= 0.15 UN
 
 @registry.add(f"WITH {_CORR}, {_EDGES} SELECT src, dst, {six('weight', 'weight')} FROM edges")
 def corr_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(graph.corr_graph(small(spark, sf_dir), 0.15), "weight")
+    return shown(graph.corr_graph(staged(spark, sf_dir), 0.15), "weight")
 
 
 _NODES = """n1 AS (SELECT ticker, date, x, lag(x) OVER (PARTITION BY ticker ORDER BY date) AS before, sum(x) OVER (PARTITION BY ticker ORDER BY date) AS total FROM r), n2 AS (SELECT *, max(total) OVER (PARTITION BY ticker ORDER BY date) - total AS fall FROM n1),
@@ -408,7 +449,7 @@ def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(f"WITH {_CORR}, {_EDGES}, {_NODES} SELECT dst AS ticker, {six('sum(weight * std)', 'std')}, {six('sum(weight * win_rate)', 'win_rate')} FROM edges JOIN nodes ON ticker = src GROUP BY 1")
 def neighbour_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = small(spark, sf_dir)
+    panel = staged(spark, sf_dir)
     return shown(graph.neighbour_aggregate(graph.corr_graph(panel, 0.15), graph.node_features(panel), ["std", "win_rate"]), "std", "win_rate")
 
 

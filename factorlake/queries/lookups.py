@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorlake.functions.staging import shared_folder
 from factorlake.operators import models, regime, tables
 from factorlake.operators import panel as P
 from factorlake.plans import matrix
@@ -22,7 +22,7 @@ registry = Registry()
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-files-', dir='/tmp')}/{name}-{uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
 @registry.add("SELECT ts AS timestamp, value FROM events WHERE user_id = 7 AND ts <= TIMESTAMP '2024-01-20 00:00:00'")
@@ -134,4 +134,4 @@ def lasso_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add()
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = small(spark, sf_dir).dropna(subset=["ret5", "vol20"]).select("ret5", "vol20", F.xxhash64("ticker", "date").alias("_id"))
-    return models.permutation_importance(rows, ["ret5", "vol20"], lambda df: df.withColumn("prediction", F.col("ret5") + 3 * F.col("vol20")), repeats=2)
+    return models.permutation_importance(rows, ["ret5", "vol20"], lambda df: df.withColumn("prediction", F.col("ret5") + 3 * F.col("vol20")))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlake.functions.scalar import parse_time
+from factorlake.functions.staging import shared_folder
 from factorlake.operators import causal, models, tables, text, vector
 from factorlake.sources import derived, market
 from factorlake.streaming import ticks as T
 
 from .base import Registry, six
 from .finance import VARIABLES
-from .research import FEATURES, SMALL, scores, shown, small
+from .research import FEATURES, LONG, ROUNDED, SMALL, rounded_scores, shown, small
 
 registry = Registry()
 
@@ -49,8 +48,8 @@ def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(f"""WITH {_D}, s AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 64) / 448.0), 1) AS BIGINT))) AS k FROM d WHERE length(text) > 0)
   SELECT printf('%s_chunk_%04d', CAST(doc_id AS VARCHAR), k) AS chunk_id, md5(substr(text, k * 448 + 1, 512)) AS digest FROM s""")
-def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.chunk_overlap(docs(spark, sf_dir), "doc_id", "text").select("chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.chunk_fixed(docs(spark, sf_dir), "doc_id", "text").select("chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @registry.add("SELECT doc_id AS filename, 0 AS num_pages, coalesce(source, 'local') AS source, '' AS path FROM documents")
@@ -104,10 +103,15 @@ def precision_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(vector.precision_recall_mrr(vector.knn_cosine(queries, vectors), relevant, 20), "precision", "recall", "rr")
 
 
-@registry.add(f"WITH {_VQ}, s AS (SELECT query_id, {_COS} AS score FROM q, v WHERE vec_id % 50 <> 0) SELECT query_id, {six('max(score)', 'max_similarity')}, max(score) > 0.85 AS duplicate FROM s GROUP BY 1")
+@registry.add(f"WITH {_VQ}, s AS (SELECT query_id, {_COS} AS score FROM q, v WHERE vec_id <> query_id) SELECT query_id, {six('max(score)', 'max_similarity')}, max(score) > 0.85 AS duplicate FROM s GROUP BY 1")
 def near_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, vectors, _ = queries_and_vectors(spark, sf_dir)
-    return shown(vector.near_duplicate(queries, vectors.where("vec_id % 50 <> 0")), "max_similarity")
+    return shown(vector.near_duplicate(queries, vectors), "max_similarity")
+
+
+@registry.add()
+def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.chunk_overlap(docs(spark, sf_dir), "doc_id", "text").select("chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @registry.add()
@@ -202,7 +206,7 @@ def tick_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("SELECT CAST(user_id AS VARCHAR) AS symbol, count(DISTINCT ts) AS n FROM events WHERE event_id % 10 <> 0 GROUP BY 1")
 def tick_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages, each twice, through a file stream into a keyed table; what landed, by symbol."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ticks-", dir="/tmp")
+    root = shared_folder(spark)
     from uuid import uuid4
 
     base = f"{root}/ticks-{uuid4().hex}"
@@ -301,24 +305,26 @@ def linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add()
 def lasso_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = small(spark, sf_dir).select("date", *VARIABLES)
-    best, errors = models.lasso_cv(panel, ["ret5", "ret20", "vol20"], "fwd", folds=3, strengths=4)
+    best, errors = models.lasso_cv(panel, ["ret5", "ret20", "vol20"], "fwd")
     return spark.createDataFrame([(s, e, s == best) for s, e in errors], "strength double, mse double, best boolean")
 
 
 @registry.add()
 def mda_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = models.mda_importance(small(spark, sf_dir), ["ret5", "ret20", "vol20"], "fwd", trees=10)
+    made = models.mda_importance(small(spark, sf_dir), ["ret5", "ret20", "vol20"], "fwd")
     return spark.createDataFrame(list(made.items()), "feature string, importance double")
 
 
 @registry.add()
 def dml_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = causal.binarise_median(small(spark, sf_dir), "ret5").withColumn("id", F.concat_ws("-", "ticker", F.unix_timestamp("date").cast("string")))
-    ate, p = causal.dml_forest(panel, ["vol20", "ret20"], "treatment", "fwd", folds=2, trees=5)
+    ate, p = causal.dml_forest(panel, ["vol20", "ret20"], "treatment", "fwd")
     return spark.createDataFrame([(ate, p)], "ate double, p double")
 
 
-@registry.add()
+@registry.add(f"""WITH {LONG}, r AS (SELECT feature AS name, ic, icir, abs(ic) AS p_value, icir AS sharpe, -abs(icir) AS max_drawdown FROM {ROUNDED})
+  SELECT name, printf('%s: %s signal, IC %.3f, ICIR %.2f, Sharpe %.2f.', name, CASE WHEN abs(icir) >= 1 THEN 'strong' WHEN abs(icir) >= 0.5 THEN 'moderate' ELSE 'weak' END, ic, icir, sharpe) AS narrative,
+    concat_ws('; ', CASE WHEN p_value >= 0.05 THEN 'not causal at 5%' END, CASE WHEN max_drawdown < -0.2 THEN 'drawdown beyond 20%' END, CASE WHEN sharpe < 1 THEN 'Sharpe below 1' END) AS warnings FROM r""")
 def decision_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = scores(spark, sf_dir).select(F.col("feature").alias("name"), "ic", "icir", F.lit(0.01).alias("p_value"), F.col("icir").alias("sharpe"), F.lit(-0.1).alias("max_drawdown"))
-    return text.decision_narrative(made)
+    made = rounded_scores(spark, sf_dir).select(F.col("feature").alias("name"), "ic", "icir", F.abs("ic").alias("p_value"), F.col("icir").alias("sharpe"), (-F.abs("icir")).alias("max_drawdown"))
+    return text.decision_narrative(made).select("name", "narrative", "warnings")
