@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,12 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return text_rows(docs, id_col, text_col).withColumn("row_key", row_key())
 
 
+def rows_in(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose row key is (left_semi) or isn't (left_anti) in the only column of keys; its name can't be one of docs'."""
+    name = f"key_{uuid4().hex}"
+    return docs.join(keys.toDF(name), row_key() == F.col(name), how)
+
+
 def map_texts(df: DataFrame, work: Callable[[list, list[str]], dict], schema: str, carried: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``work(ids, texts) -> columns`` to chunks of rows of (doc_id, text) that hold about CHUNK_CHARS characters.
 

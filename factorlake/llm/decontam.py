@@ -110,5 +110,5 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, rec
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no item is found."""
-    bad = contaminated_rows(common.keyed_rows(docs), items, **options).select(F.col("row_key").alias("_bad")).distinct()
-    return docs.join(bad, common.row_key() == F.col("_bad"), "left_anti")
+    bad = contaminated_rows(common.keyed_rows(docs), items, **options).select("row_key").distinct()
+    return common.rows_in(docs, bad, "left_anti")
