@@ -150,7 +150,7 @@ def test_text(spark):
     df = spark.createDataFrame([(1, "Title line\nAbstract: We  test.\n\nIntro- \nducing 1987 words\n\n\n\nReferences\nX 2001")], "id int, text string")
     row = df.select(text.clean_text(F.col("text")).alias("c"), text.paper_metadata(F.col("text")).alias("m"), text.strip_references(F.col("text")).alias("s")).first()
     assert "\n\n\n" not in row.c and row.m.title == "Title line" and row.m.year == 1987 and row.m.abstract == "We  test." and "2001" not in row.s
-    pieces = text.chunk_overlap(spark.createDataFrame([("f", "word" * 500)], "f string, t string"), "f", "t").orderBy("chunk_index").collect()
+    pieces = text.chunk_fixed(spark.createDataFrame([("f", "word" * 500)], "f string, t string"), "f", "t").orderBy("chunk_index").collect()
     assert [p.chunk_id for p in pieces][:2] == ["f_chunk_0000", "f_chunk_0001"] and pieces[0].text[-64:] == pieces[1].text[:64]
     assert len(text.chunk_paragraph(df, "id", "text").collect()) == 3
 
