@@ -41,10 +41,14 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return text_rows(docs, id_col, text_col).withColumn("row_key", row_key())
 
 
-def rows_in(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose row key is (left_semi) or isn't (left_anti) in the only column of keys; its name can't be one of docs'."""
+def rows_in(docs: DataFrame, keys: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """The rows of docs whose row key is (left_semi) or isn't (left_anti) in the only column of keys; its name can't be one of docs'.
+
+    ``once``: of rows with the same doc_id and text one stays; they meet where the join put them by the key, so texts are not shuffled again.
+    """
     name = f"key_{uuid4().hex}"
-    return docs.join(keys.toDF(name), row_key() == F.col(name), how)
+    joined = docs.withColumn(name, row_key()).join(keys.toDF(name), name, how)
+    return (joined.dropDuplicates([name, "doc_id", "text"]) if once else joined).drop(name)
 
 
 def map_texts(df: DataFrame, work: Callable[[list, list[str]], dict], schema: str, carried: tuple[str, ...] = ()) -> DataFrame:

@@ -246,4 +246,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     classes = keyed_classes(common.keyed_rows(docs), **options)
     worded = classes.where("component is not null and doc_id <=> class_id").groupBy("component").agg(F.min("row_key").alias("_kept")).select("_kept")
     kept = worded.unionByName(classes.where("component is null").select(F.col("row_key").alias("_kept")).distinct())
-    return common.rows_in(docs, kept, "left_semi").dropDuplicates(["doc_id", "text"])
+    return common.rows_in(docs, kept, "left_semi", once=True)
