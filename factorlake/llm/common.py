@@ -216,6 +216,20 @@ def join_split(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFra
     return cold.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(lookup.join(F.broadcast(hot), keys, "left_semi")), keys, how))
 
 
+def join_salted(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, total: int) -> DataFrame:
+    """rows joined to lookup, which may have many rows for a key, as an inner join.
+
+    Rows of a hot key are dealt by the column ``spread`` over as many salts as there are shuffle partitions, and the lookup's rows
+    of those at most HOT_SHARE keys are repeated for each; all other keys are shuffled as they are.
+    """
+    hot = F.broadcast(hot_keys(rows, keys, total).withColumn("_hot", F.lit(True)))
+    salts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return dealt.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b) of bigints: rows (node, component), the smallest node of each.
 

@@ -8,7 +8,7 @@ Items are partitioned by their number of shingles, and each partition has a sket
 whose recall at the threshold, over the containments that a set of this size can have, meets the target.
 
 A pass over the documents keeps those with a sketch value (by a filter of fixed size, whatever the number of items);
-hits are joined to the sketches with both sides salted, since a passage may occur in a third of all documents;
+hits are joined to the sketches with hot values and items salted, since a passage may occur in a third of all documents;
 candidates are verified on whole shingle sets, both joined by key.
 
 Defined cases: null and empty documents contain nothing; items without words are never found; an item of fewer than
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from . import common
 from .jaccard import set_key, shingle_sets
 
-SALTS = 16
-
 
 def sketch_length(partition: int, threshold: float, recall: float) -> int:
     """Hash functions for items of at most 2**partition shingles.
@@ -90,13 +88,12 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, threshold: float = 0.8,
     sketched = common.cut(item_sketches(items, threshold, recall, k, item_col, text_col))
     sketches = sketched.select("item_key", F.explode("sketch").alias("value")).distinct()
     found = common.cut(documents_with_hits(docs, sketches, k))
-    hits = found.select("row_key", F.explode("hits").alias("value")).withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
-    salted = sketches.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    candidates = hits.join(salted, ["value", "salt"]).groupBy("row_key", "item_key").agg(F.count("*").alias("sketch_hits"))
-    # by item the hot one is salted again, by document no key is hot
-    by_item = candidates.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
-    whole = sketched.select("item_key", "item_id", "n", F.col("shingles").alias("item_shingles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pairs = by_item.join(whole, ["item_key", "salt"]).join(found.select("row_key", "doc_id", "shingles"), "row_key")
+    hits = found.select("row_key", F.explode("hits").alias("value"))
+    met = common.join_salted(hits, sketches, ["value"], "row_key", hits.count())
+    candidates = common.cut(met.groupBy("row_key", "item_key").agg(F.count("*").alias("sketch_hits")))
+    whole = sketched.select("item_key", "item_id", "n", F.col("shingles").alias("item_shingles"))
+    by_item = common.join_salted(candidates, whole, ["item_key"], "row_key", candidates.count())
+    pairs = by_item.join(found.select("row_key", "doc_id", "shingles"), "row_key")  # by document no key is hot
     counted = pairs.select("doc_id", "row_key", "item_id", F.col("n").alias("n_shingles"), F.size(F.array_intersect("item_shingles", "shingles")).alias("n_found"))
     return counted.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= threshold)
 

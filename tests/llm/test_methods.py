@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_text_operators import brute_ids, clashing, docs_of, prose, sentence
 
-from factorlake.llm import common, jaccard, langid, packing, pii, secret_scan, syncmers, tokens, toxicity, url_filter
+from factorlake.llm import common, decontam, jaccard, langid, packing, pii, secret_scan, syncmers, tokens, toxicity, url_filter
 
 
 def test_added_tokens_keep_their_ids(spark):
@@ -189,6 +189,21 @@ def test_hot_keys_join_like_others(spark):
         assert len(got) == n and sum(r.w == 1.0 for r in got) == 900 and sum(r.w == 2.0 for r in got) == 1
 
 
+def test_hot_keys_join_to_many_rows_of_a_key(spark):
+    rows = spark.createDataFrame([(7, i) for i in range(400)] + [(i, i) for i in range(300)], "k long, i long")
+    lookup = spark.createDataFrame([(7, "a"), (7, "b"), (11, "c"), (12, "d"), (12, "e"), (900, "f")], "k long, v string")
+    got = sorted(map(tuple, common.join_salted(rows, lookup, ["k"], "i", 700).select("k", "i", "v").collect()))
+    assert got == sorted((k, i, v) for k, i in [(7, i) for i in range(400)] + [(i, i) for i in range(300)] for kk, v in [(7, "a"), (7, "b"), (11, "c"), (12, "d"), (12, "e"), (900, "f")] if k == kk)
+
+
+def test_passage_in_most_documents_is_found_everywhere(spark):
+    passage, other = " ".join(f"p{i}" for i in range(30)), " ".join(f"o{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, f"w{i} x{i} {passage} y{i}" if i % 4 else f"w{i} {other if i % 8 else 'none'} z{i}") for i in range(400)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, passage), (3, other), (4, "")], "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id) for x in decontam.contamination(docs, items).collect())
+    assert got == sorted([(i, n) for i in range(400) if i % 4 for n in (1, 2)] + [(i, 3) for i in range(400) if i % 8 == 4])
+
+
 def test_long_texts_in_heavy_buckets(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 500)  # every bucket of these is cut into several blocks
     base = sentence(1, 400).split(" ")
