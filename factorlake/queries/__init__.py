@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import features, finance, lookups, research, texts
+from . import feature_rows, features, finance, lookups, research, texts
 from .base import Query
 
-_PARTS = (features, research, finance, texts, lookups)
+_PARTS = (features, feature_rows, research, finance, texts, lookups)
 
 
 def queries() -> dict[str, Query]:

@@ -46,7 +46,8 @@ def tick_upsert(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
 def sink_ticks(ticks: DataFrame, path: str, checkpoint: str, dead: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Each micro-batch appends keys the table has not got yet, partitioned by date, and unreadable messages to ``dead``.
 
-    A batch is written under its number, so one that runs again after a failure replaces what it wrote.
+    A batch is written under its number, so one that runs again after a failure replaces what it wrote. Only the dates that it
+    spans are read of the table: what has landed before them costs a micro-batch nothing.
     """
 
     def land(batch: DataFrame, number: int) -> None:
@@ -54,7 +55,8 @@ def sink_ticks(ticks: DataFrame, path: str, checkpoint: str, dead: str | None =
         spark = batch.sparkSession
         new = filter_valid_ticks(batch).dropDuplicates(["symbol", "timestamp"]).withColumn("date", F.to_date("timestamp"))
         try:
-            held = spark.read.parquet(path).where(F.col("batch") != number).select("symbol", "timestamp", "date")
+            span = new.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+            held = spark.read.parquet(path).where((F.col("batch") != number) & F.col("date").between(F.lit(span["first"]), F.lit(span["last"]))).select("symbol", "timestamp", "date")
             new = new.join(held, ["symbol", "timestamp", "date"], "left_anti")
         except Exception as error:  # the first batch has no table yet
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
