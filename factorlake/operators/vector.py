@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.functions.scalar import cosine, norm, squared_distance
+from factorlake.operators.tables import upsert_by_key
 
 
 def hash_embedding(text: Column, size: int = 16) -> Column:
@@ -61,6 +62,12 @@ def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 2.0,
     return near.withColumn("rank", at).where(F.col("rank") <= k)
 
 
+def vector_upsert(index: DataFrame, chunks: DataFrame, key: str = "chunk_id", version: str | None = None) -> DataFrame:
+    """The index with the chunks in place of those it holds under the same key; text, vector and metadata go along. A column that only one side has is null for the other's rows."""
+    made = upsert_by_key(index, chunks, [key], version)
+    return made.drop(version) if version and version not in index.columns else made
+
+
 def precision_recall_mrr(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, precision, recall, rr) at k; ranked (query_id, vec_id, rank), relevant (query_id, vec_id). Averages are the caller's ``agg``."""
     hits = ranked.where(F.col("rank") <= k).join(relevant.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")

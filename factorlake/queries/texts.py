@@ -126,6 +126,18 @@ def union_chunks_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.union_chunks_distinct(rows.where("score < 6"), rows.where("score > 3").withColumn("score", F.col("score") * 10))
 
 
+@registry.add(f"""WITH v AS (SELECT vec_id AS chunk_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings), c AS (SELECT chunk_id, label + 100 AS label, [-x FOR x IN embedding] AS embedding FROM v WHERE chunk_id % 3 = 0)
+  SELECT chunk_id, label, {six('embedding[1]', 'first')} FROM (SELECT * FROM c UNION ALL SELECT * FROM v WHERE chunk_id % 2 = 0 AND chunk_id % 3 <> 0)""")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of every second vector, changed and extended by every third; each change comes twice, the later one wins."""
+    rows = derived.vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    third = rows.where("chunk_id % 3 = 0")
+    later = third.select("chunk_id", (F.col("label") + 100).alias("label"), F.transform("embedding", lambda x: -x).alias("embedding"), F.lit(2).alias("version"))
+    changes = third.withColumn("version", F.lit(1)).unionByName(later)
+    made = vector.vector_upsert(rows.where("chunk_id % 2 = 0"), changes, version="version")
+    return shown(made.select("chunk_id", "label", F.col("embedding")[0].alias("first")), "first")
+
+
 @registry.add("SELECT CAST(vec_id AS VARCHAR) AS chunk_id FROM embeddings WHERE label = 3")
 def semi_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("chunk_id"), "label")

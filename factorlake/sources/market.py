@@ -72,3 +72,21 @@ def synthetic_panel(spark: SparkSession, n_tickers: int = 50, n_days: int = 1260
     steps = days.crossJoin(tickers).repartition("ticker").sortWithinPartitions("ticker", "date").withColumns({"step": 0.0003 + 0.015 * F.randn(seed), "u": F.rand(seed + 1)})
     priced = steps.withColumn("close", 100 * F.exp(F.expr("sum(step) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")))
     return priced.select("date", "ticker", (F.col("close") * (1 - 0.002 * F.col("u"))).alias("open"), (F.col("close") * 1.01).alias("high"), (F.col("close") * 0.99).alias("low"), "close", (1e5 + 9.9e6 * F.col("u")).alias("volume"), F.col("close").alias("adj_close"))
+
+
+#: Ranges of made-up fundamentals (fixed values).
+RANGES = {
+    "pe_ratio": (5, 40), "pb_ratio": (0.5, 8), "roe": (-0.05, 0.35), "roa": (-0.02, 0.15), "gross_margin": (0.1, 0.7), "earnings_yield": (0.01, 0.12), "debt_equity": (0.1, 3.0),
+    "current_ratio": (0.5, 4.0), "asset_growth": (-0.1, 0.3), "accruals": (-0.1, 0.1), "ev_ebitda": (3, 25), "dividend_yield": (0, 0.06), "log_market_cap": (20, 27),
+}
+SECTORS = ("Tech", "Finance", "Health", "Energy", "Consumer")
+
+
+def synthetic_fundamentals(spark: SparkSession, n_tickers: int = 50, n_days: int = 1260, seed: int = 42) -> DataFrame:
+    """Quarterly reports for the tickers of ``synthetic_panel``, from a year before its first date to past its last; a ticker keeps its sector."""
+    quarters = max(8, n_days // 63 + 4)
+    rows = spark.range(n_tickers).select(F.format_string("T%04d", "id").alias("ticker"), F.explode(F.expr(f"sequence(date'2019-01-01', add_months(date'2019-01-01', {3 * (quarters + 3)}), interval 3 months)")).alias("date"))
+    share = lambda *of: F.pmod(F.xxhash64(*of, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0  # noqa: E731  of the row's own values: the same however rows are dealt
+    numbers = [(low + (high - low) * share("ticker", "date", F.lit(name))).alias(name) for name, (low, high) in RANGES.items()]
+    sector = F.element_at(F.array(*map(F.lit, SECTORS)), (F.floor(share("ticker") * len(SECTORS)) + 1).cast("int"))
+    return rows.select("date", "ticker", *numbers, sector.alias("sector"))
