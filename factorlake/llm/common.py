@@ -18,6 +18,8 @@ WORD = re.compile(r"\w+")
 CACHED_WORDS = 500_000
 #: Characters of text that a task works on at once.
 CHUNK_CHARS = 1_000_000
+#: Texts that a task works on at once, however short they are.
+CHUNK_TEXTS = 50_000
 #: log2 of the bits of a key filter: 2 MB, whatever the number of keys.
 FILTER_BITS = 24
 
@@ -51,8 +53,8 @@ def rows_in(docs: DataFrame, keys: DataFrame, how: str, once: bool = False) -> D
     return (joined.dropDuplicates([name, "doc_id", "text"]) if once else joined).drop(name)
 
 
-def map_texts(df: DataFrame, work: Callable[[list, list[str]], dict], schema: str, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Apply ``work(ids, texts) -> columns`` to chunks of rows of (doc_id, text) that hold about CHUNK_CHARS characters.
+def map_texts(df: DataFrame, work: Callable[[list, list[str]], dict], schema: str, carried: tuple[str, ...] = (), chars: int = CHUNK_CHARS) -> DataFrame:
+    """Apply ``work(ids, texts) -> columns`` to chunks of rows of (doc_id, text) that hold about ``chars`` characters.
 
     A chunk never spans two Arrow batches; one very long text makes a chunk of its own. Columns ``carried`` go along as they
     are, for work that returns one row for each text.
@@ -65,20 +67,20 @@ def map_texts(df: DataFrame, work: Callable[[list, list[str]], dict], schema: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for lo, hi, texts in text_chunks(batch.column("text")):
+            for lo, hi, texts in text_chunks(batch.column("text"), chars):
                 made = work(ids[lo:hi], texts) | {c: batch.column(c).slice(lo, hi - lo).to_pylist() for c in carried}
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
     return df.select("doc_id", "text", *carried).mapInArrow(run, schema)
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+def text_chunks(column: pa.Array, chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
     lo, held, texts = 0, 0, []
     for i, value in enumerate(column):
         text = value.as_py()
         texts.append(text)
         held += len(text)
-        if held >= CHUNK_CHARS:
+        if held >= chars or len(texts) >= CHUNK_TEXTS:
             yield lo, i + 1, texts
             lo, held, texts = i + 1, 0, []
     if texts:

@@ -6,7 +6,8 @@ or the profile's length if the profile lacks it. The nearest language wins. N-gr
 of every training text, pre-aggregated for each chunk, and over the whole of every document to predict.
 
 Letters are taken case-folded, as UTF-16 units, so an n-gram and the row it belongs to fit in 64 bits and a chunk
-is counted by one sort. What is a letter is decided by code point: both halves of one beyond 16 bits count, those of an emoji don't.
+is counted by one sort. A chunk is about PIECE characters; a longer text is cut where a word ends, which leaves its counts as they
+are, and counted piece by piece, so memory does not grow with the text. What is a letter is decided by code point: both halves of one beyond 16 bits count, those of an emoji don't.
 
 ``keep_identified`` rejects by the distance. It learns from all labelled documents, scores them too, and asks of a document
 LEAST_SHARE of the median score that labelled documents of its nearest language have where that language is also
@@ -19,6 +20,7 @@ to compare with, rejects texts without letters only; repeated rows are predicted
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +34,9 @@ UNKNOWN = "und"
 #: Fixed value: in sf0.1 labelled documents have 0.55 of the median score of their language or more, random letters 0.30 or less.
 LEAST_SHARE = 0.4
 SCORE_BINS = 1_000
+#: Characters whose n-grams are listed at once, about 60 MB of arrays.
+PIECE = 250_000
+WORD_END = re.compile(r"\s")
 
 
 @lru_cache(maxsize=1)
@@ -52,10 +57,39 @@ def letters_of(flat: np.ndarray) -> np.ndarray:
     return letter
 
 
+def cut_at_words(text: str) -> list[str]:
+    """The text in pieces of PIECE characters and what is left of the word there (a blank of the text parts two pieces)."""
+    parts, at = [], 0
+    while len(text) - at > PIECE and (end := WORD_END.search(text, at + PIECE)):
+        parts.append(text[at : end.start()])
+        at = end.end()
+    return [*parts, text[at:]]
+
+
 def gram_counts(texts: list[str], longest: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, gram, count) of all n-grams of the texts, by row and gram; at most 65,536 texts."""
+    if sum(map(len, texts)) <= 2 * PIECE:
+        return piece_counts(list(range(len(texts))), texts, longest)
+    made, rows, held, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        for part in cut_at_words(text):
+            rows.append(i)
+            held.append(part)
+            size += len(part)
+            if size >= PIECE:
+                made.append(piece_counts(rows, held, longest))
+                rows, held, size = [], [], 0
+    if held:
+        made.append(piece_counts(rows, held, longest))
+    row, gram, count = (np.concatenate(x) for x in zip(*made, strict=True))
+    keys, inverse = np.unique((row << GRAM_BITS) | gram, return_inverse=True)
+    return keys >> GRAM_BITS, keys & np.uint64((1 << 48) - 1), np.bincount(inverse, weights=count, minlength=len(keys)).astype(np.uint64)
+
+
+def piece_counts(rows: list[int], texts: list[str], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gram_counts of texts that belong to the rows given, in one sort."""
     units = [np.frombuffer(f" {t.lower()} ".encode("utf-16-le", "surrogatepass"), dtype=np.uint16) for t in texts]
-    row = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(u) for u in units])
+    row = np.repeat(np.array(rows, dtype=np.uint64), [len(u) for u in units])
     flat = np.concatenate(units)
     letter = letters_of(flat)
     keep = letter.copy()
@@ -95,7 +129,7 @@ def learn_profiles(docs: DataFrame, top: int = 300, lang_col: str = "lang") -> D
 
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for lo, hi, texts in common.text_chunks(batch.column("text")):
+            for lo, hi, texts in common.text_chunks(batch.column("text"), PIECE):
                 row, gram, count = gram_counts(texts)
                 names = sorted(set(langs[lo:hi]))
                 of = np.array([names.index(x) for x in langs[lo:hi]], dtype=np.uint64)
@@ -151,7 +185,7 @@ def predict(docs: DataFrame, profiles: DataFrame, top: int = 300, id_col: str =
         langs, scores = nearest(texts, tables.value, top)
         return {"doc_id": ids, "lang_pred": langs, "score": scores}
 
-    return common.map_texts(common.text_rows(docs, id_col, text_col), work, "doc_id long, lang_pred string, score double")
+    return common.map_texts(common.text_rows(docs, id_col, text_col), work, "doc_id long, lang_pred string, score double", chars=PIECE)
 
 
 def held_out(id_col: Column | str = "doc_id") -> Column:
@@ -171,7 +205,7 @@ def least_scores(docs: DataFrame, tables, top: int = 300) -> dict[str, float]:
     def run(batches):
         for batch in batches:
             labels = batch.column("lang").to_pylist()
-            for lo, hi, texts in common.text_chunks(batch.column("text")):
+            for lo, hi, texts in common.text_chunks(batch.column("text"), PIECE):
                 counts: dict[tuple[str, int], int] = {}
                 for label, lang, score in zip(labels[lo:hi], *nearest(texts, tables.value, top), strict=True):
                     if label == lang:
@@ -209,7 +243,7 @@ def keep_identified(docs: DataFrame, least: float | None = None, top: int = 300)
     def run(batches):
         for batch in batches:
             keep = []
-            for _, _, texts in common.text_chunks(batch.column(at).fill_null("")):
+            for _, _, texts in common.text_chunks(batch.column(at).fill_null(""), PIECE):
                 keep += keeps(texts)
             yield batch.filter(pa.array(keep, pa.bool_()))
 

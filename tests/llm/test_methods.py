@@ -239,3 +239,23 @@ def test_stages_keep_clashing_columns(spark, tmp_path):
         docs = common.cut(out)
     assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "None"]
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {1, None}
+
+
+def test_ngram_counts_of_pieces_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    letters = list("abcdefghij klmnop qrs tuv\n\t.,ÄßИя漢字 😀𐐀İΣ ")
+    texts = ["".join(rng.choice(letters, n)) for n in (0, 1, 5, 900, 20_000, 7)] + ["x" * 5_000]
+    whole = langid.piece_counts(list(range(len(texts))), texts, 3)
+    for piece in (1, 3, 1_000, 7_000):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for want, got in zip(whole, langid.gram_counts(texts), strict=True):
+            assert np.array_equal(want, got)
+
+
+def test_text_chunks_bound_characters_and_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "CHUNK_TEXTS", 3)
+    texts = ["", "", "", "", "ab", "c" * 50, "", "d"]
+    chunks = list(common.text_chunks(pa.array(texts), 10))
+    assert [(lo, hi) for lo, hi, _ in chunks] == [(0, 3), (3, 6), (6, 8)] and [t for _, _, part in chunks for t in part] == texts
