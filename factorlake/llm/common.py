@@ -184,6 +184,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet to the shared folder and read them from there: like ``cut``, smaller on disk, and a reader takes only the columns it needs."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once a row, however often the body and its inner functions use it."""
     return F.transform(F.array(value), body)[0]

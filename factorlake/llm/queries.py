@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, packing, pii, secret_scan, syncmers, token_counts, toxicity, url_filter
+from . import decontam, divergence, jaccard, langid, packing, pii, secret_scan, syncmers, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_pii, op3_language_id, op4_fingerprints, op5_secret_scan, op6_token_counts, op7_packing, op8_toxicity, op9_jaccard_join, op10_url_filter, pipeline]
+    own = [op1_decontamination, op2_pii, op3_language_id, op4_fingerprints, op5_secret_scan, op6_token_counts, op7_packing, op8_toxicity, op9_jaccard_join, op10_url_filter, op13_source_divergence, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -76,10 +80,30 @@ SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(k AS INTEGER) AS
 FROM found JOIN n USING (item_id) WHERE k / CAST(n AS DOUBLE) >= 0.8
 """
 
+#: Every (group, kept term) cell and every pair of groups, without the tree.
+OP13_SQL = """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+  regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+u AS (SELECT lang, source, r, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM u GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS own_n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (own_n + v) AS p,
+  1 + (1000000000::HUGEINT * (total + 1)) // (lang_n + v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+cells AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN cells ON cells.lang = a.lang AND cells.source = a.source AND cells.item = b.source),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express: exact containment without the search.
 
     The others learn models, iterate or encode texts; tests hold them against brute force on small tables.
     """
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op13_source_divergence": OP13_SQL}
