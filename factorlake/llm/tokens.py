@@ -24,6 +24,16 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def entries(vocabulary: str) -> list[bytes]:
+    """The bytes of each id."""
+    with open(vocabulary, encoding="utf-8") as file:
+        ids, of = json.load(file)["model"]["vocab"], byte_of_symbol()
+    made = [b""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        made[i] = bytes(of[c] for c in token)
+    return made
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
     """Merges run in tiktoken, several times as fast as tokenizers on the same vocabulary; ids are equal (tests hold them together).
@@ -39,9 +49,28 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def encode(text: str, vocabulary: str) -> np.ndarray:
-    return np.array(encoder(vocabulary).encode(text, allowed_special="all"), dtype=np.uint32)
+@lru_cache(maxsize=4)
+def patient_encoder(vocabulary: str, plain: bool):
+    """For texts on which the pattern's backtracking gives up (some hundred thousand blanks in a row): slower, the same ids."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(vocabulary)
+    made.encode_special_tokens = plain
+    return made
+
+
+def encode(text: str, vocabulary: str, plain: bool = False) -> np.ndarray:
+    """The ids of a text; ``plain``: strings of added tokens in it are ordinary text."""
+    quick = encoder(vocabulary)
+    try:
+        return quick.encode_to_numpy(text, allowed_special=set() if plain else "all", disallowed_special=())
+    except ValueError:
+        return np.array(patient_encoder(vocabulary, plain).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
+def encode_plain(texts: list[str], vocabulary: str) -> list[np.ndarray]:
+    return [encode(text, vocabulary, plain=True) for text in texts]
 
 
 def lengths(texts: list[str], vocabulary: str) -> list[int]:
-    return [len(ids) for ids in encoder(vocabulary).encode_batch(texts, num_threads=1, allowed_special="all")]
+    return [len(encode(text, vocabulary)) for text in texts]
