@@ -15,7 +15,9 @@ from hashlib import md5
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SERIES = "PARTITION BY ticker ORDER BY date"
+from factorlake.functions import doubling
+from factorlake.functions.doubling import SERIES
+
 CROSS = "PARTITION BY date"
 EPS = "1e-8"
 YEAR = "sqrt(252.0D)"
@@ -39,6 +41,8 @@ def spark() -> bool:
 
 #: Window expressions by the name of the column that holds them while a layer is computed.
 _windows: dict[str, str] = {}
+#: Long windows by the name of their column, likewise.
+_long: dict[str, doubling.Window] = {}
 
 
 def over(sql: str) -> str:
@@ -71,13 +75,23 @@ def frame(n: int) -> str:
     return f"OVER ({SERIES} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
+def window(agg: str, x: str, n: int, y: str | None = None) -> str:
+    """An aggregate of x, or of (y, x), over n dates: a plain frame, or if that is long put together from short ones."""
+    if spark() and n > doubling.PLAIN and agg in doubling.NEEDS:
+        made = (agg, (x,) if y is None else (x, y), n)
+        _long[doubling.name(made)] = made
+        return doubling.name(made)
+    of = x if y is None else f"CASE WHEN {y} IS NOT NULL THEN {x} END" if agg == "count" else f"{y}, {x}"
+    return over(f"{agg}({of}) {frame(n)}")
+
+
 def roll(agg: str, x: str, n: int, least: int | None = None) -> str:
     """Rolling aggregate over n dates, null with fewer than ``least`` values (n // 2 if not given).
 
-    A frame of its own for each row, whatever n: nothing outside the window, an infinity or a large sum, reaches its result.
+    Nothing outside the window, an infinity or a large sum, reaches its result.
     """
     least = n // 2 if least is None else least
-    return f"CASE WHEN {over(f'count({x}) {frame(n)}')} >= {least} THEN {over(f'{agg}({x}) {frame(n)}')} END"
+    return f"CASE WHEN {window('count', x, n)} >= {least} THEN {window(agg, x, n)} END"
 
 
 def roll_quantile(x: str, p: float, n: int, least: int) -> str:
@@ -87,15 +101,14 @@ def roll_quantile(x: str, p: float, n: int, least: int) -> str:
 
 def roll_pair(agg: str, y: str, x: str, n: int, least: int) -> str:
     """Rolling aggregate of two columns (covar_samp, regr_slope) over the rows that have both."""
-    both = f"CASE WHEN {y} IS NOT NULL THEN {x} END"
-    return f"CASE WHEN {over(f'count({both}) {frame(n)}')} >= {least} THEN {over(f'{agg}({y}, {x}) {frame(n)}')} END"
+    return f"CASE WHEN {window('count', x, n, y)} >= {least} THEN {window(agg, x, n, y)} END"
 
 
 def roll_corr(y: str, x: str, n: int, least: int) -> str:
     """Rolling correlation; null if either side doesn't vary."""
     a, b = f"(CASE WHEN {x} IS NOT NULL THEN {y} END)", f"(CASE WHEN {y} IS NOT NULL THEN {x} END)"
-    spread = f"{over(f'stddev_samp({a}) {frame(n)}')} * {over(f'stddev_samp({b}) {frame(n)}')}"
-    return f"CASE WHEN {over(f'count({b}) {frame(n)}')} >= {least} THEN {over(f'covar_samp({y}, {x}) {frame(n)}')} / nullif({spread}, 0) END"
+    spread = f"{window('stddev_samp', a, n)} * {window('stddev_samp', b, n)}"
+    return f"CASE WHEN {window('count', b, n)} >= {least} THEN {window('covar_samp', x, n, y)} / nullif({spread}, 0) END"
 
 
 def skew(x: str, n: int, least: int) -> str:
@@ -187,10 +200,13 @@ def high_clip(x: str, high: str = "0.0D") -> str:
 def apply_layers(df: DataFrame, layers: list[dict[str, str]]) -> DataFrame:
     """df with the columns of all layers."""
     for layer in layers:
+        long = list(dict.fromkeys(re.findall(r"__d[0-9a-f]{12}_[a-z_]+_\d+", " ".join(layer.values()))))
+        if long:
+            df = doubling.add(df, [_long[name] for name in long])
         shared = list(dict.fromkeys(re.findall(r"__w[0-9a-f]{16}", " ".join(layer.values()))))
         if shared:
             df = df.select("*", *[F.expr(_windows[name]).alias(name) for name in shared])
-        df = df.select("*", *[F.expr(sql).alias(name) for name, sql in layer.items()]).drop(*shared)
+        df = df.select("*", *[F.expr(sql).alias(name) for name, sql in layer.items()]).drop(*shared, *long)
     return df
 
 

@@ -7,7 +7,7 @@ count universe dates. Exponential means come as columns from ``operators.panel.w
 from __future__ import annotations
 
 from factorlake.functions.kernels import (
-    EPS, SERIES, YEAR, change, cross, cross_quantile, cross_z, diff, fill_forward, first_high, flag, frame, high_clip, kurt, lag, low_clip, mean_deviation, own_rank, percent_rank, roll, roll_corr, roll_pair, roll_quantile, running, skew, weekday_is,
+    EPS, SERIES, YEAR, change, cross, cross_quantile, cross_z, diff, fill_forward, first_high, flag, high_clip, kurt, lag, low_clip, mean_deviation, own_rank, percent_rank, roll, roll_corr, roll_pair, roll_quantile, running, skew, weekday_is, window,
 )
 
 Layers = list[dict[str, str]]
@@ -59,14 +59,14 @@ def volatility(ranged: bool = True) -> tuple[Layers, list[str]]:
     second |= {f"atr_{n}d": f"{roll('avg', 'tr', n)}" + (f" / ({C} + {EPS})" if ranged else "") for n in (7, 14, 21)}
     second |= {f"dsd{n}": roll("stddev_samp", "down", n) for n in (20, 60, 252)}
     second |= {f"beta_{n}d": f"cov{n} / (mvar{n} + 1e-10)" for n in (60, 120, 252)}
-    second |= {f"dd{n}": f"(wealth - max(wealth) {frame(n)}) / (max(wealth) {frame(n)} + {EPS})" for n in (20, 60, 252)}
+    second |= {f"dd{n}": f"(wealth - {window('max', 'wealth', n)}) / ({window('max', 'wealth', n)} + {EPS})" for n in (20, 60, 252)}
     if ranged:
         second |= {f"parkinson_vol_{n}d": f"sqrt({roll('avg', 'hl2', n)} / (4 * ln(2.0D))) * {YEAR}" for n in (20, 60)}
     third = {f"downside_dev_{n}d": f"dsd{n} * {YEAR}" for n in (20, 60, 252)} | {f"downside_ratio_{n}d": f"dsd{n} / (sd{n} + {EPS})" for n in (20, 60, 252)}
     inner = {n: f"vol_{n}d * vol_{n}d - power(beta_{n}d * sqrt(mvar{n}) * {YEAR}, 2)" for n in (60, 252)}
     third |= {f"idio_vol_{n}d": f"sqrt({low_clip(inner[n])})" for n in (60, 252)}
     third |= {"med252": roll_quantile("vol_20d", 0.5, 252, 126)}
-    third |= {f"vol_ratio_{a}_{b}": f"vol_{a}d / (vol_{b}d + {EPS})" for a, b in ((5, 20), (20, 60), (60, 252))} | {f"max_dd_{n}d": f"min(dd{n}) {frame(n)}" for n in (20, 60, 252)}
+    third |= {f"vol_ratio_{a}_{b}": f"vol_{a}d / (vol_{b}d + {EPS})" for a, b in ((5, 20), (20, 60), (60, 252))} | {f"max_dd_{n}d": window("min", f"dd{n}", n) for n in (20, 60, 252)}
     fourth = {"high_vol_flag": flag("vol_20d > med252"), "low_vol_flag": flag("vol_20d < med252"), "vol_rank_20d": percent_rank("vol_20d"), "vol_rank_60d": percent_rank("vol_60d")}
     layers = [first, base, second, third, fourth]
     hidden = {"mkt", "down", "wealth", "tr", "hl2", "med252", "sd21"}
