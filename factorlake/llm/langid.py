@@ -6,8 +6,8 @@ or the profile's length if the profile lacks it. The nearest language wins. N-gr
 of every training text, pre-aggregated for each chunk, and over the whole of every document to predict.
 
 Letters are taken case-folded, as UTF-16 units, so an n-gram and the row it belongs to fit in 64 bits and a chunk
-is counted by one sort. A chunk is about PIECE characters; a longer text is cut where a word ends, which leaves its counts as they
-are, and counted piece by piece, so memory does not grow with the text. What is a letter is decided by code point: both halves of one beyond 16 bits count, those of an emoji don't.
+is counted by one sort. A chunk is about PIECE characters; a longer text is cut into pieces of that length, which leaves its counts as they
+are (see ``cut_text``), blanks or not, so memory beyond the text itself does not grow with it. What is a letter is decided by code point: both halves of one beyond 16 bits count, those of an emoji don't.
 
 ``keep_identified`` rejects by the distance. It learns from all labelled documents, scores them too, and asks of a document
 LEAST_SHARE of the median score that labelled documents of its nearest language have where that language is also
@@ -20,7 +20,6 @@ to compare with, rejects texts without letters only; repeated rows are predicted
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +35,6 @@ LEAST_SHARE = 0.4
 SCORE_BINS = 1_000
 #: Characters whose n-grams are listed at once, about 60 MB of arrays.
 PIECE = 250_000
-WORD_END = re.compile(r"\s")
 
 
 @lru_cache(maxsize=1)
@@ -57,33 +55,49 @@ def letters_of(flat: np.ndarray) -> np.ndarray:
     return letter
 
 
-def cut_at_words(text: str) -> list[str]:
-    """The text in pieces of PIECE characters and what is left of the word there (a blank of the text parts two pieces)."""
-    parts, at = [], 0
-    while len(text) - at > PIECE and (end := WORD_END.search(text, at + PIECE)):
-        parts.append(text[at : end.start()])
-        at = end.end()
-    return [*parts, text[at:]]
+def cut_text(text: str) -> list[tuple[str, int]]:
+    """Lower-cased pieces of about PIECE characters and their signs, so that the signed counts of the pieces sum up to the text's.
+
+    A cut before a character that is no letter parts no n-gram. Within a word both sides get the two letters before the cut, and a
+    piece of these two alone counts negatively: what all three have, blanks at the cut included, is counted once.
+    """
+    text, parts, at = text.lower(), [], 0
+    piece = max(PIECE, 3)
+    while len(text) - at > piece:
+        end = at + piece
+        while end < len(text) and text[end].isalpha() and not (text[end - 1].isalpha() and text[end - 2].isalpha()):
+            end += 1
+        if end == len(text):
+            break
+        parts.append((text[at:end], 1))
+        at = end
+        if text[end].isalpha():
+            parts.append((text[end - 2 : end], -1))
+            at = end - 2
+    return [*parts, (text[at:], 1)]
 
 
 def gram_counts(texts: list[str], longest: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, gram, count) of all n-grams of the texts, by row and gram; at most 65,536 texts."""
     if sum(map(len, texts)) <= 2 * PIECE:
         return piece_counts(list(range(len(texts))), texts, longest)
-    made, rows, held, size = [], [], [], 0
-    for i, text in enumerate(texts):
-        for part in cut_at_words(text):
-            rows.append(i)
-            held.append(part)
-            size += len(part)
-            if size >= PIECE:
-                made.append(piece_counts(rows, held, longest))
-                rows, held, size = [], [], 0
-    if held:
-        made.append(piece_counts(rows, held, longest))
-    row, gram, count = (np.concatenate(x) for x in zip(*made, strict=True))
-    keys, inverse = np.unique((row << GRAM_BITS) | gram, return_inverse=True)
-    return keys >> GRAM_BITS, keys & np.uint64((1 << 48) - 1), np.bincount(inverse, weights=count, minlength=len(keys)).astype(np.uint64)
+    keys, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    pieces = ((i, part, sign) for i, text in enumerate(texts) for part, sign in cut_text(text))
+    waiting: dict[int, tuple[list[int], list[str]]] = {1: ([], []), -1: ([], [])}
+    size, piece = 0, next(pieces, None)
+    while piece:
+        (i, part, sign), piece = piece, next(pieces, None)
+        waiting[sign][0].append(i)
+        waiting[sign][1].append(part)
+        size += len(part)
+        if size >= PIECE or piece is None:
+            made = [(s, *piece_counts(*own, longest)) for s, own in waiting.items() if own[0]]
+            keys, inverse = np.unique(np.concatenate([keys, *[(row << GRAM_BITS) | gram for _, row, gram, _ in made]]), return_inverse=True)
+            weights = np.concatenate([counts, *[s * count.astype(np.int64) for s, _, _, count in made]])
+            counts = np.bincount(inverse, weights=weights, minlength=len(keys)).astype(np.int64)
+            waiting, size = {1: ([], []), -1: ([], [])}, 0
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    return keys >> GRAM_BITS, keys & np.uint64((1 << 48) - 1), counts.astype(np.uint64)
 
 
 def piece_counts(rows: list[int], texts: list[str], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
