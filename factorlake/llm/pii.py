@@ -147,9 +147,11 @@ def find_pii(docs: DataFrame, rounds: int = 3, prior: float = 2.0, least: float
     seen = rows.select("row_key", F.explode("instances").alias("i")).select("row_key", "i.*")
     edges = common.cut(seen.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     patterns, found = confident(edges, rounds, prior, least)
-    known = edges.join(found, "instance", "left_semi").join(patterns, "pattern", "left_semi").groupBy("instance").agg(F.collect_set("pattern").alias("_good"))
-    unseen = seen.where("not seed")
-    placed = common.join_split(unseen, known, ["instance"], common.hot_keys(unseen, ["instance"], unseen.count())).where(F.arrays_overlap("patterns", "_good"))
+    n_edges = edges.count()
+    good = common.join_split(edges.select("pattern", "instance"), found, ["instance"], common.hot_keys(edges, ["instance"], n_edges))
+    good = common.cut(common.join_split(good, patterns, ["pattern"], common.hot_keys(edges, ["pattern"], n_edges)))
+    unseen = seen.where("not seed").select("row_key", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+    placed = common.join_split(unseen, good, ["instance", "pattern"], common.hot_keys(unseen, ["instance", "pattern"], unseen.count()))
     spans = placed.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return rows.drop("instances").join(spans, "row_key", "left").select("doc_id", *KINDS[:4], F.coalesce("context", none).alias("context"))
