@@ -212,8 +212,9 @@ def keyed_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: f
     first = signed.where("size > 0").join(sets.drop("doc_id"), ["set_key", "row_key"]).dropDuplicates(["set_key"]).withColumnRenamed("set_key", "set_id")
     found = first.select("set_id", "copies", "n_shingles", F.explode("bands").alias("bucket"))
     by_bucket = found.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_id").alias("low"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"), F.sum("n_shingles").alias("weight")).where("members > 1")
-    kept = by_bucket.groupBy("members", "low", "mark").agg(F.min("bucket").alias("bucket"), F.max("weight").alias("weight"))  # same members, same pairs
-    members = common.cut(found.join(kept.select("bucket", "members", "weight"), "bucket"))
+    kept = common.cut(by_bucket.groupBy("members", "low", "mark").agg(F.min("bucket").alias("bucket"), F.max("weight").alias("weight")))  # same members, same pairs
+    large = kept.where(F.col("members") > max(sets.count() * bands // common.HOT_SHARE, common.HOT_SHARE // 10)).select("bucket")  # HOT_SHARE buckets at most
+    members = common.cut(common.join_split(found, kept.select("bucket", "members", "weight"), ["bucket"], large))
     named = members.groupBy("set_id").agg(F.collect_list("bucket").alias("buckets"), F.first("copies").alias("copies"))
     named = named.join(sets.select(F.col("set_key").alias("set_id"), "row_key"), "set_id")
     shingled = member_sets(docs, named.select("set_id", "row_key"), k)
