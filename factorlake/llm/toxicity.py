@@ -64,7 +64,7 @@ def folded_words(text: str) -> list[str]:
 def terms_of(words: list[str]) -> set[str]:
     """Whole words ("= word") and beginnings of 4 to 6 letters ("^ word")."""
     words = set(words)
-    return {f"={w}" for w in words if 3 <= len(w) <= 30} | {f"^{w[:n]}" for w in words for n in (4, 5, 6) if len(w) >= n}
+    return {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in (4, 5, 6) if len(w) >= n}
 
 
 def held_out(id_col: Column | str = "doc_id") -> Column:
@@ -72,11 +72,12 @@ def held_out(id_col: Column | str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``bound`` documents of each label, none held out."""
+    """(doc_id, text, toxic) of at most ``bound`` documents of each label, none held out; of rows that repeat a doc_id the one whose text has the smallest hash."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for y in (0, 1)]
     ids = common.cut(parts[0].unionByName(parts[1]))  # at most 2 * bound rows of two numbers, so broadcast is safe
-    return common.cut(common.text_rows(docs).join(F.broadcast(ids), "doc_id"))
+    found = common.text_rows(docs).join(F.broadcast(ids), "doc_id")
+    return common.cut(found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")))
 
 
 def counted(sample: DataFrame, features) -> DataFrame:
@@ -156,7 +157,7 @@ def matcher(lexicon: dict[str, float], exceptions: list[str]):
 
 
 def learn_exceptions(sample: DataFrame, lexicon: dict[str, float], least_docs: int = 3) -> list[str]:
-    """Pairs of words with a lexicon term of which clean sampled documents have at least as many as toxic ones."""
+    """Pairs of words with a lexicon term of which clean sampled documents have at least as many as toxic ones, and ``least_docs`` in any case: fewer are chance."""
     whole, starts = {t[1:] for t in lexicon if t[0] == "="}, {t[1:] for t in lexicon if t[0] == "^"}
 
     def pairs(text: str) -> set[str]:

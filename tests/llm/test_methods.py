@@ -244,7 +244,7 @@ def test_stages_keep_clashing_columns(spark, tmp_path):
 def test_ngram_counts_of_pieces_are_those_of_the_whole(monkeypatch):
     rng = np.random.default_rng(1)
     letters = list("abcdefghij klmnop qrs tuv\n\t.,ÄßИя漢字 😀𐐀İΣ ")
-    texts = ["".join(rng.choice(letters, n)) for n in (0, 1, 5, 900, 20_000, 7)] + ["x" * 5_000]
+    texts = ["".join(rng.choice(letters, n)) for n in (0, 1, 5, 900, 20_000, 7)] + ["x" * 5_000, "".join(rng.choice(list("漢字語ΣİÄ𐐀b"), 9_000)), "a1" * 3_000, "Σ" * 2_000, "aΣ1" * 900, "̈a" * 2_000]
     whole = langid.piece_counts(list(range(len(texts))), texts, 3)
     for piece in (1, 3, 1_000, 7_000):
         monkeypatch.setattr(langid, "PIECE", piece)
@@ -252,6 +252,39 @@ def test_ngram_counts_of_pieces_are_those_of_the_whole(monkeypatch):
             assert np.array_equal(want, got)
 
 
+def test_a_text_without_blanks_is_counted_in_bounded_memory():
+    import tracemalloc
+
+    text = "".join(chr(0x4E00 + (i * 7919) % 3_000) for i in range(4_000_000))
+    tracemalloc.start()
+    row, gram, count = langid.gram_counts([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000 and int(count[gram < 65_536].sum()) == len(text)
+
+
+def test_toxic_sample_has_one_row_an_id(spark):
+    docs = docs_of(spark, [(1, f"copy {i}", "en") for i in range(500)] + [(i, prose(i, 5), "en") for i in range(2, 30)])
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, 10).groupBy("toxic").count().collect()
+    assert all(r["count"] <= 10 for r in sample) and len(sample) == 2
+    assert {"=ab", "=" + "x" * 40} <= toxicity.terms_of(["ab", "x" * 40])
+
+
+def test_buckets_and_patterns_that_hold_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 20)
+    r = random.Random(5)
+    base = sentence(77, 60).split(" ")
+    near = [" ".join([*base[:i], f"changed{i}", *base[i + 1 :]]) for i in range(0, 60, 2)]
+    docs = docs_of(spark, [(i, t, "en") for i, t in enumerate([*near, *[sentence(i, 40) for i in range(100, 140)]])])
+    rows = jaccard.jaccard_classes(docs).collect()
+    assert sum(x.n_links > 0 for x in rows) == len(near) and {x.class_id for x in rows if x.doc_id < len(near)} == {0}
+    seeds = [(i, f"{sentence(i, 6)} mail: p{i}@mail.example.com now {sentence(500 + i, 6)}", "en") for i in range(60)]
+    same = [(1000 + i, f"{sentence(3000 + i, 6)} mail: user#77 now {sentence(4000 + i, 6)}", "en") for i in range(60)]
+    found = pii.digest(pii.find_pii(docs_of(spark, [*seeds, *same, (2000, f"user#77 {r.random()}", "en")]))).collect()
+    assert sum(x.n_context for x in found) == 60 and not any(x.n_context for x in found if x.doc_id == 2000)
+
+
 def test_text_chunks_bound_characters_and_texts(monkeypatch):
     import pyarrow as pa
 
