@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontam, divergence, jaccard, langid, packing, pii, secret_scan, syncmers, token_counts, toxicity, url_filter
+from . import alignment, attention_lm, decontam, divergence, jaccard, langid, packing, pii, secret_scan, syncmers, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(alignment.align(table(spark, sf_dir, "documents"))[0])
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_pii, op3_language_id, op4_fingerprints, op5_secret_scan, op6_token_counts, op7_packing, op8_toxicity, op9_jaccard_join, op10_url_filter, op12_tokenizer_alignment, op13_source_divergence, pipeline]
+    own = [op1_decontamination, op2_pii, op3_language_id, op4_fingerprints, op5_secret_scan, op6_token_counts, op7_packing, op8_toxicity, op9_jaccard_join, op10_url_filter, op11_lm_score, op12_tokenizer_alignment, op13_source_divergence, pipeline]
     return {f.__name__: f for f in own}
 
 
