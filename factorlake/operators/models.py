@@ -41,7 +41,8 @@ def lasso_coefficients(sums: np.ndarray, strength: float, rounds: int = 1_000) -
 def lasso_cv(df: DataFrame, features: list[str], target: str, folds: int = 5, purge: int = 2, strengths: int = 20) -> tuple[float, list[tuple[float, float]]]:
     """(best strength, (strength, mean squared error) of each): expanding training windows, tests after a gap of ``purge`` dates.
 
-    One pass gives the sums of products of each stretch of dates between the folds' limits; every training and test set is a sum of
+    One pass gives the sums of products of each stretch of dates between the folds' limits, of values less their column's mean, which
+    changes no slope and no error but keeps large means out of the differences; every training and test set is a sum of
     stretches, and fits and errors need those matrices only, which are as large as the square of the features.
     """
     calendar = fold_bounds(df, folds).withColumn("at", F.row_number().over(Window.orderBy("date")))  # a row a date
@@ -49,7 +50,10 @@ def lasso_cv(df: DataFrame, features: list[str], target: str, folds: int = 5, pu
     tests = [f for f in range(1, folds + 1) if f in begins]
     limits = sorted({x for f in tests for x in (begins[f] - purge, begins[f])})
     zone = sum((F.col("at") >= x).cast("int") for x in limits) if limits else F.lit(0)
-    rows = df.dropna(subset=[target, *features]).join(calendar, "date").select(zone.alias("zone"), F.lit(1.0).alias("_1"), *features, F.col(target).alias("_y"))
+    rows = df.dropna(subset=[target, *features]).join(calendar, "date")
+    means = rows.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in dict.fromkeys([*features, target])]).first()
+    less_mean = lambda c, name: (F.col(c).cast("double") - F.lit(means[c])).alias(name)
+    rows = rows.select(zone.alias("zone"), F.lit(1.0).alias("_1"), *[less_mean(c, c) for c in features], less_mean(target, "_y"))
     names, by_zone = ["_1", *features, "_y"], {}
     for r in moments(rows, names, ["zone"]).collect():
         by_zone.setdefault(r["zone"], np.zeros((len(names), len(names))))[r["i"], r["j"]] = r["s"]

@@ -6,11 +6,13 @@ Features are long, (date, ticker, feature, value), wherever many are scored: one
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorlake.functions.kernels import cross_z, fill_forward, frame, percent_rank
+from factorlake.functions.kernels import cross_z, fill_forward, percent_rank
 from factorlake.functions.moments import moments, pair_moments, to_matrix
+from factorlake.functions.order_statistics import at_share, rolling_quantiles
 
 KEY = ["date", "ticker"]
 
@@ -176,31 +178,45 @@ def screen_collinear(correlations: DataFrame, scores: DataFrame, features: list[
     return [f for f in features if f in kept]
 
 
-def winsorize_rolling(panel: DataFrame, column: str, n: int = 252, least: int = 10, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """panel with the column clipped to its ticker's rolling quantiles; without enough values to those of its whole series."""
-    both = f"percentile({column}, array({low}D, {high}D))"
-    bounds = f"coalesce(CASE WHEN count({column}) {frame(n)} >= {least} THEN {both} {frame(n)} END, {both} OVER (PARTITION BY ticker))"
-    panel = panel.withColumn("_both", F.expr(bounds)).withColumns({"_lo": F.col("_both")[0], "_hi": F.col("_both")[1]}).drop("_both")
-    clipped = F.when(F.col(column) < F.col("_lo"), F.col("_lo")).when(F.col(column) > F.col("_hi"), F.col("_hi")).otherwise(F.col(column))
-    return panel.withColumn(column, clipped).drop("_lo", "_hi")
+def winsorize_rolling(panel: DataFrame, columns: str | list[str], n: int = 252, least: int = 10, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """panel with the columns clipped to their ticker's rolling quantiles; without enough values to those of its whole series.
+
+    One grouped map over a ticker's dates for all columns; a sorted window slides along each.
+    """
+    columns = [columns] if isinstance(columns, str) else columns
+    panel = panel.withColumns({c: F.col(c).cast("double") for c in columns})
+
+    def clip(series: pa.Table) -> pa.Table:
+        series = series.sort_by("date")
+        for c in columns:
+            x = series.column(c).to_numpy(zero_copy_only=False).astype(float)
+            bounds = rolling_quantiles(x, n, least, [low, high])
+            held = sorted(x[~np.isnan(x)].tolist())
+            bounds = np.where(np.isnan(bounds), [at_share(held, low), at_share(held, high)], bounds) if held else bounds
+            clipped = np.where(x < bounds[:, 0], bounds[:, 0], np.where(x > bounds[:, 1], bounds[:, 1], x))
+            series = series.set_column(series.schema.get_field_index(c), c, pa.array(clipped, mask=series.column(c).is_null().to_numpy()))
+        return series
+
+    return panel.groupBy("ticker").applyInArrow(clip, panel.schema)
 
 
-def xs_zscore(panel: DataFrame, column: str) -> DataFrame:
-    """The column standardised by date; where it doesn't vary by 1."""
-    spread = F.expr(f"coalesce(nullif(stddev_samp({column}) OVER (PARTITION BY date), 0), 1)")
-    return panel.withColumn(column, (F.col(column) - F.expr(f"avg({column}) OVER (PARTITION BY date)")) / spread)
+def xs_zscore(panel: DataFrame, columns: str | list[str]) -> DataFrame:
+    """The columns standardised by date; where one doesn't vary by 1."""
+    columns = [columns] if isinstance(columns, str) else columns
+    spread = lambda c: F.expr(f"coalesce(nullif(stddev_samp({c}) OVER (PARTITION BY date), 0), 1)")
+    return panel.withColumns({c: (F.col(c) - F.expr(f"avg({c}) OVER (PARTITION BY date)")) / spread(c) for c in columns})
 
 
-def impute_ffill_median(panel: DataFrame, column: str, limit: int = 5) -> DataFrame:
+def impute_ffill_median(panel: DataFrame, columns: str | list[str], limit: int = 5) -> DataFrame:
     """Filled forward over at most ``limit`` dates, then with the date's median, then with 0."""
-    filled = panel.withColumn(column, F.expr(fill_forward(column, limit)))
-    return filled.withColumn(column, F.coalesce(F.col(column), F.expr(f"percentile({column}, 0.5D) OVER (PARTITION BY date)"), F.lit(0.0)))
+    columns = [columns] if isinstance(columns, str) else columns
+    filled = panel.withColumns({c: F.expr(fill_forward(c, limit)) for c in columns})
+    return filled.withColumns({c: F.coalesce(F.col(c), F.expr(f"percentile({c}, 0.5D) OVER (PARTITION BY date)"), F.lit(0.0)) for c in columns})
 
 
 def preprocess(panel: DataFrame, columns: list[str], scores: DataFrame | None = None, most: float = 0.95) -> tuple[DataFrame, list[str]]:
-    """Winsorised, standardised, imputed columns; of collinear ones the best by ``scores`` stay."""
-    for c in columns:
-        panel = impute_ffill_median(xs_zscore(winsorize_rolling(panel, c), c), c)
+    """Winsorised, standardised, imputed columns, each step for all columns at once; of collinear ones the best by ``scores`` stay."""
+    panel = impute_ffill_median(xs_zscore(winsorize_rolling(panel, columns), columns), columns)
     kept = screen_collinear(corr_matrix(panel, columns), scores, columns, most) if scores is not None else columns
     return panel.drop(*[c for c in columns if c not in kept]), kept
 

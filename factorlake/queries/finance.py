@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factorlake.functions.staging import cut
 from factorlake.operators import causal, graph, regime, risk
 from factorlake.sources import derived
+from factorlake.streaming import state
 
 from .base import FUNDAMENTALS, Registry, six
 from .research import SMALL, shown, small
@@ -250,6 +251,25 @@ def latent_confounder_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal.latent_confounder_edges(edges, causal.orient_colliders(edges, sepsets), causal.pair_correlations(panel, VARIABLES))
 
 
+#: Six variables, so that edges keep enough neighbours for sets of two.
+MORE = ["close", "fwd", "ret20", "ret5", "vol20", "volume"]
+_MORE_ONE = " UNION ALL ".join(f"SELECT '{a}' AS i, '{b}' AS j, corr({a}, {b}) AS r, count(*) AS n FROM more" for i, a in enumerate(MORE) for b in MORE[i + 1 :])
+_DEEPER = f"""{SMALL}, more AS (SELECT * FROM small WHERE {' AND '.join(f'{v} IS NOT NULL' for v in MORE)}),
+one AS ({_MORE_ONE}), pair AS (SELECT * FROM one UNION ALL SELECT j, i, r, n FROM one),
+p1 AS (SELECT p.i, p.j, a.j AS k, (p.r - a.r * b.r) / sqrt((1 - a.r * a.r) * (1 - b.r * b.r)) AS r, p.n FROM pair p JOIN pair a ON a.i = p.i AND a.j <> p.j JOIN pair b ON b.i = p.j AND b.j = a.j),
+p2 AS (SELECT p.i, p.j, p.k, a.j AS l, (p.r - a.r * b.r) / sqrt((1 - a.r * a.r) * (1 - b.r * b.r)) AS r, p.n FROM p1 p JOIN p1 a ON a.i = p.i AND a.k = p.k AND a.j <> p.j JOIN p1 b ON b.i = p.j AND b.k = p.k AND b.j = a.j WHERE p.k < a.j),
+e0 AS (SELECT i, j FROM (SELECT *, {_Z.format(q=0)} AS z FROM pair) WHERE {p_sql('z')} < 0.05),
+s1 AS (SELECT DISTINCT i, j FROM (SELECT *, {_Z.format(q=1)} AS z FROM p1) t WHERE {p_sql('z')} >= 0.05 AND EXISTS (SELECT 1 FROM e0 WHERE e0.i = t.i AND e0.j = t.k)),
+e1 AS (SELECT * FROM e0 WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE (s1.i = e0.i AND s1.j = e0.j) OR (s1.i = e0.j AND s1.j = e0.i))),
+s2 AS (SELECT DISTINCT i, j FROM (SELECT *, {_Z.format(q=2)} AS z FROM p2) t WHERE {p_sql('z')} >= 0.05 AND EXISTS (SELECT 1 FROM e1 WHERE e1.i = t.i AND e1.j = t.k) AND EXISTS (SELECT 1 FROM e1 WHERE e1.i = t.i AND e1.j = t.l)),
+e2 AS (SELECT * FROM e1 WHERE NOT EXISTS (SELECT 1 FROM s2 WHERE (s2.i = e1.i AND s2.j = e1.j) OR (s2.i = e1.j AND s2.j = e1.i)))"""
+
+
+@registry.add(f"WITH {_DEEPER} SELECT i, j FROM e2 WHERE i < j")
+def ci_skeleton_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return causal.skeleton(staged(spark, sf_dir), MORE, order=2)[0]
+
+
 @registry.add(f"WITH {SMALL}, m AS (SELECT quantile_cont(ret20, 0.5) AS m FROM small) SELECT ticker, CAST(sum(CASE WHEN ret20 > m THEN 1 ELSE 0 END) AS DOUBLE) AS treated FROM small, m GROUP BY 1")
 def binarise_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal.binarise_median(small(spark, sf_dir), "ret20").groupBy("ticker").agg(F.sum("treatment").alias("treated"))
@@ -332,6 +352,17 @@ def cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regime.cusum(small(spark, sf_dir).select("ticker", "date", F.col("returns").alias("value")).where("value is not null"))
 
 
+@registry.add(registry.sql["cusum"])
+def cusum_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same alarms from a stream: a third of the dates a micro-batch, sums kept as state between them."""
+    series = cut(small(spark, sf_dir).select("ticker", F.col("date").cast("timestamp").alias("date"), F.col("returns").alias("value")).where("value is not null"))
+    limits = cut(state.cusum_limits(series))
+    first, last = series.agg(F.min("date"), F.max("date")).first()
+    third = (last - first) / 3
+    within = [(F.col("date") >= F.lit(first + n * third)) & ((F.col("date") < F.lit(first + (n + 1) * third)) | F.lit(n == 2)) for n in range(3)]
+    return state.replay([series.where(w) for w in within], lambda stream: state.cusum_stream(stream, limits))[0]
+
+
 @registry.add(f"""WITH {STRATEGY}, d AS (SELECT ticker, signal, coalesce(returns, 0) AS ret, coalesce(ln(close / lag(close) OVER w), 0) AS log_change, CASE WHEN count(returns) OVER v = 20 THEN stddev_pop(returns) OVER v ELSE 0 END AS vol FROM strategy
   WINDOW w AS (PARTITION BY ticker ORDER BY date), v AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT ticker, count(*) AS n, {six('sum(abs(log_change))', 'log_change')}, {six('avg(vol)', 'vol')}, {six('sum(abs(ret))', 'ret')} FROM d GROUP BY 1""")
 def dl_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

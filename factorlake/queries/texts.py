@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from factorlake.functions.scalar import parse_time
 from factorlake.functions.staging import shared_folder
 from factorlake.operators import causal, models, tables, text, vector
-from factorlake.sources import derived, market
+from factorlake.sources import derived
+from factorlake.sources.keyed_store import KeyedStore, market
+from factorlake.streaming import state
 from factorlake.streaming import ticks as T
 
 from .base import Registry, six
@@ -195,6 +197,26 @@ def bars_from_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bars_from_ticks(bars_of_ticks(spark, sf_dir).withColumn("volume", F.lit(1.0)))
 
 
+_ARRIVALS = """a AS (SELECT *, ts + CASE WHEN event_id % 97 = 0 THEN INTERVAL 40 DAY WHEN event_id % 11 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS arrival FROM events),
+sliced AS (SELECT *, floor((epoch_us(arrival) - min(epoch_us(ts)) OVER ()) / (20 * 86400000000)) AS slice FROM a),
+marks AS (SELECT s.slice, max(e.ts) - INTERVAL 3 DAY AS mark FROM (SELECT DISTINCT slice FROM sliced) s LEFT JOIN sliced e ON e.slice < s.slice GROUP BY 1)"""
+
+
+@registry.add(f"""WITH {_ARRIVALS} SELECT CAST(user_id AS VARCHAR) AS symbol, date_trunc('day', ts)::TIMESTAMP AS timestamp, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close,
+  CAST(count(*) AS DOUBLE) AS volume FROM sliced JOIN marks USING (slice) WHERE mark IS NULL OR ts > mark GROUP BY 1, 2""")
+def bars_from_late_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks in order of arrival, some a day late, some forty, and every third twice, as a stream of twenty-day micro-batches with three days of grace."""
+    rows = derived.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    delay = F.when(F.col("event_id") % 97 == 0, F.expr("INTERVAL 40 DAYS")).when(F.col("event_id") % 11 == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    number = lambda t: F.floor((F.unix_micros(t) - F.unix_micros(F.lit(first))) / (20 * 86_400_000_000))
+    ticks = rows.select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").alias("timestamp"), F.col("value").alias("close"), F.lit(1.0).alias("volume"), number(F.col("ts") + delay).alias("slice"), "event_id")
+    ticks = ticks.unionByName(ticks.where("event_id % 3 = 0"))
+    pieces = [ticks.where(F.col("slice") == n).drop("slice", "event_id") for n in range(int((last - first).days + 40) // 20 + 1)]
+    end = spark.range(1).select(F.lit("").alias("symbol"), (F.lit(last) + F.expr("INTERVAL 400 DAYS")).alias("timestamp"), F.lit(0.0).alias("close"), F.lit(0.0).alias("volume"))
+    return state.replay([*pieces, end], lambda stream: state.late_bars(stream, late="3 days"))[0]
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks as JSON messages: some without symbol, some with epoch seconds, some without price."""
     rows = derived.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -243,6 +265,20 @@ def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.upsert_by_key(base, changes, ["k"], "event_id").select("k", "v")
 
 
+@registry.add(f"WITH {_CHANGES} SELECT k, v FROM (SELECT coalesce(ch.k, base.k) AS k, CASE WHEN ch.k IS NULL THEN base.v ELSE ch.v END AS v FROM base FULL JOIN ch ON ch.k = base.k) WHERE k % 5 <> 0")
+def keyed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base stored in buckets, an upsert, the same upsert again and a delete as commits; the table as the last one leaves it."""
+    from uuid import uuid4
+
+    base, changes = base_and_changes(spark, sf_dir)
+    store = KeyedStore(spark, f"{shared_folder(spark)}/store-{uuid4().hex}", "k long, v double", ["k"], buckets=16)
+    store.upsert("base", base)
+    for _ in range(2):
+        store.upsert("changes", changes, "event_id")
+    store.delete("fifths", store.read().where("k % 5 = 0"))
+    return store.read()
+
+
 @registry.add("WITH base AS (SELECT user_id AS k, max(value) AS v FROM events WHERE event_id % 2 = 0 AND user_id % 2 = 0 GROUP BY 1), ch AS (SELECT user_id AS k, max(value) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT k, v FROM base UNION ALL SELECT k, v FROM ch WHERE k NOT IN (SELECT k FROM base)")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, changes = base_and_changes(spark, sf_dir)

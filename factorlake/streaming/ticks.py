@@ -75,9 +75,9 @@ def tick_publish(ticks: DataFrame, servers: str, topic: str, checkpoint: str) ->
     return body.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
-def bars_from_ticks(ticks: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Tumbling bars (symbol, timestamp, OHLCV) of ticks (symbol, timestamp, close, volume); a stream emits a bar when the watermark has passed it."""
-    if ticks.isStreaming:
+def bars_from_ticks(ticks: DataFrame, width: str = "1 day", late: str | None = "1 hour") -> DataFrame:
+    """Tumbling bars (symbol, timestamp, OHLCV) of ticks (symbol, timestamp, close, volume); a stream emits a bar when the watermark (``late``; None: it has one) has passed it."""
+    if ticks.isStreaming and late is not None:
         ticks = ticks.withWatermark("timestamp", late)
     made = ticks.groupBy(F.window("timestamp", width), "symbol").agg(
         F.min_by("close", "timestamp").alias("open"), F.max("close").alias("high"), F.min("close").alias("low"), F.max_by("close", "timestamp").alias("close"), F.sum("volume").alias("volume")

@@ -96,6 +96,15 @@ def test_lasso_from_sums_equals_fits_on_rows(spark):
     assert mse == pytest.approx(np.mean(by_hand), rel=1e-3) and best == min(errors, key=lambda e: e[1])[0]
 
 
+def test_lasso_does_not_depend_on_a_shift(spark):
+    r = np.random.default_rng(16)
+    x = r.normal(size=(400, 2))
+    rows = pd.DataFrame(x, columns=["a", "b"]).assign(date=np.repeat(pd.date_range("2020-01-01", periods=80), 5), y=x @ [0.7, -0.4] + 0.1 * r.normal(size=400))
+    plain, shifted = (models.lasso_cv(spark.createDataFrame(t), ["a", "b"], "y", folds=4) for t in (rows, rows.assign(a=rows.a + 1e8, y=rows.y - 1e6)))
+    assert plain[0] == shifted[0]
+    assert [e for _, e in shifted[1]] == pytest.approx([e for _, e in plain[1]], rel=1e-6)
+
+
 def test_importance_by_tree_finds_the_feature(spark):
     x = np.random.default_rng(7).normal(size=(400, 2))
     rows = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": 3 * x[:, 0]})
