@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -154,9 +153,3 @@ def ema_by_sql(panel: DataFrame, span: int) -> DataFrame:
 def subset_check(features: DataFrame, panel: DataFrame) -> bool:
     """Whether every ticker of the features is one of the panel's."""
     return features.select("ticker").distinct().join(panel.select("ticker").distinct(), "ticker", "left_anti").isEmpty()
-
-
-def batches(df: DataFrame, columns: list[str], size: int = 64) -> Iterator[list[str]]:
-    """Column names in groups, for passes over very wide matrices."""
-    for at in range(0, len(columns), size):
-        yield columns[at : at + size]

@@ -205,4 +205,18 @@ def base_factory() -> tuple[Layers, list[str]]:
     return [one, two, three], list(three)
 
 
-__all__ = ["EMA_SPANS", "MACD", "alternative", "base_factory", "composite", "momentum", "quality", "technical", "value", "volatility", "volume"]
+#: Names of base-factory columns that come from tables beside the bars.
+QUALITY = ("roe", "roa", "gross_margin", "debt_to_equity", "asset_turnover", "operating_leverage")
+VALUE = ("pe_ratio", "pb_ratio", "ps_ratio", "ev_ebitda", "dividend_yield", "book_to_market")
+MACRO = ("rates_beta", "inflation_beta", "vix_beta", "credit_spread_beta", "gdp_beta")
+ALTERNATIVE = ("sentiment_score", "supply_chain_disruption_index", "news_intensity", "web_traffic_index")
+
+
+def base_named() -> list[str]:
+    """Base-factory columns that are taken over by name where a table has them, and 0 where none has."""
+    names = [f"quality_{m}{end}" for m in QUALITY for end in ("", "_change_1y")] + [f"value_{m}{end}" for m in VALUE for end in ("", "_rank_cross_sectional")]
+    names += [f"macro_sensitivity_{m}_{n}d" for m in MACRO for n in (60, 120, 252)]
+    return names + [f"alt_{m}_{kind}_{n}d" for m in ALTERNATIVE for n in (5, 20, 60) for kind in ("mean", "momentum")]
+
+
+__all__ = ["EMA_SPANS", "MACD", "alternative", "base_factory", "base_named", "composite", "momentum", "quality", "technical", "value", "volatility", "volume"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorlake.functions.kernels import apply_layers
+from factorlake.functions.kernels import apply_layers, fill_forward
 from factorlake.functions.scalar import six_digits
 from factorlake.functions.staging import cut
 from factorlake.operators import panel as P
@@ -65,9 +65,22 @@ def alternative(bars: DataFrame, fundamentals: DataFrame, grid: DataFrame | None
     return priced(apply_layers(joined, layers), names), names
 
 
-def base_factory(bars: DataFrame) -> tuple[DataFrame, list[str]]:
+def base_factory(bars: DataFrame, *tables: DataFrame, named: bool = False) -> tuple[DataFrame, list[str]]:
+    """Price and volume columns; with ``named`` also those that tables (date, ticker, ...) hold under the factory's names, the first table's where several do.
+
+    Named columns are joined on the date, filled forward by ticker and 0 before their first value, or everywhere if no table has them.
+    """
     layers, names = families.base_factory()
-    return priced(apply_layers(dense(bars), layers), names), names
+    panel = dense(bars)
+    if named:
+        wanted, taken = families.base_named(), set()
+        for table in tables:
+            own = [c for c in wanted if c in table.columns and c not in taken]
+            taken.update(own)
+            panel = panel.join(table.select(*KEY, *[F.col(c).cast("double").alias(f"_{c}") for c in own]).dropDuplicates(KEY), KEY, "left") if own else panel
+        layers = [*layers, {c: f"coalesce({fill_forward(f'_{c}')}, 0)" if c in taken else "0.0D" for c in wanted}]
+        names = [*names, *wanted]
+    return priced(apply_layers(panel, layers), names), names
 
 
 def groups(bars: DataFrame, fundamentals: DataFrame | None) -> list[tuple[DataFrame, list[str]]]:
@@ -100,6 +113,14 @@ def long(matrix: DataFrame, names: list[str]) -> DataFrame:
     return matrix.unpivot(KEY, names, "feature", "value").where("value is not null")
 
 
+def summary(matrix: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, n, lo, hi, mean) of every named column, one pass without a shuffle of values; to six significant digits."""
+    number = lambda n: F.col(n).cast("double")
+    made = matrix.agg(*[F.struct(F.count(n).alias("n"), F.min(number(n)).alias("lo"), F.max(number(n)).alias("hi"), F.avg(number(n)).alias("mean")).alias(n) for n in names])
+    rows = made.unpivot([], names, "feature", "x").select("feature", "x.*")
+    return rows.select("feature", "n", *[six_digits(F.col(c)).alias(c) for c in ("lo", "hi", "mean")])
+
+
 def digest(matrix: DataFrame, names: list[str]) -> DataFrame:
     """(feature, ticker, n, lo, hi, mean), to six significant digits."""
     rows = long(matrix.select(*KEY, *[F.col(n).cast("double").alias(n) for n in names]), names)

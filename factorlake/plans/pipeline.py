@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorlake.operators import research
+from factorlake.operators import panel, research
 from factorlake.plans import matrix
 from factorlake.sources import market, sinks
 
@@ -20,13 +20,15 @@ def score_matrix(features: DataFrame, names: list[str], bars: DataFrame, horizon
 def run(spark: SparkSession, ohlcv: str, fundamentals: str | None, out: str, horizon: int = 21, top: int = 50, **limits) -> DataFrame:
     """The ranking report; writes features, validated features and scores under ``out``.
 
-    The matrix is written once and read again, so scoring and validation scan columns instead of computing the windows twice.
+    The matrix is written once and read again, so scoring and validation scan columns instead of computing the windows twice; columns
+    without any value go then.
     """
     bars = market.scan_ohlcv(spark, ohlcv).drop("returns")
     reports = market.scan_fundamentals(spark, fundamentals) if fundamentals else None
     features, names = matrix.all_features(bars, reports)
     sinks.sink_features(features, f"{out}/features")
-    features = spark.read.parquet(f"{out}/features")
+    features = panel.drop_empty_columns(spark.read.parquet(f"{out}/features"))
+    names = [n for n in names if n in features.columns]
     scores = score_matrix(features, names, bars, horizon).persist()
     kept = research.validate_features(features, scores, names, **limits)
     sinks.sink_features(kept.drop("month"), f"{out}/validated")

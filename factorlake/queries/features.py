@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlake.functions.kernels import dialect, layers_sql
+from factorlake.functions.kernels import dialect, layers_sql, percent_rank, to_duckdb
+from factorlake.functions.scalar import six_digits
 from factorlake.functions.staging import cut
 from factorlake.operators import panel as P
+from factorlake.operators import research
 from factorlake.plans import features as families
-from factorlake.plans import matrix
+from factorlake.plans import matrix, pipeline
 from factorlake.sources import derived
 
 from .base import ASOF, BARS, FUNDAMENTALS, GRID, Registry, six
@@ -82,6 +84,21 @@ def features_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.digest(*matrix.alternative(derived.bars(spark, sf_dir), derived.fundamentals(spark, sf_dir)))
 
 
+_NAMED = {"quality_roe": "roe", "quality_roa": "roa", "quality_gross_margin": "gross_margin", "value_pe_ratio": "pe_ratio", "value_dividend_yield": "dividend_yield"}
+
+
+@registry.add(f"""WITH {BARS}, {GRID}, {FUNDAMENTALS}, weekly AS (SELECT date_trunc('week', date)::TIMESTAMP AS date, ticker, {', '.join(f'{c} AS {n}' for n, c in _NAMED.items())} FROM fundamentals),
+  filled AS (SELECT ticker, adj_close, {', '.join(f'coalesce(last_value(w.{n} IGNORE NULLS) OVER (PARTITION BY d.ticker ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS {n}' for n in _NAMED)} FROM dense d LEFT JOIN weekly w USING (date, ticker)),
+  features AS (SELECT ticker, {', '.join(f'{n}' if n in _NAMED else f'0.0::DOUBLE AS {n}' for n in families.base_named())} FROM filled WHERE adj_close IS NOT NULL),
+  long AS (UNPIVOT features ON {', '.join(families.base_named())} INTO NAME feature VALUE value)
+  SELECT feature, ticker, count(*) AS n, {six('min(value)', 'lo')}, {six('max(value)', 'hi')}, {six('avg(value)', 'mean')} FROM long GROUP BY 1, 2""")
+def features_base_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factory's named columns: some from fundamentals of the week, the others 0."""
+    weekly = derived.fundamentals(spark, sf_dir).select(F.date_trunc("week", "date").alias("date"), "ticker", *[F.col(c).alias(n) for n, c in _NAMED.items()])
+    made, _ = matrix.base_factory(derived.bars(spark, sf_dir), weekly, named=True)
+    return matrix.digest(made, families.base_named())
+
+
 @registry.add(digest_sql(f"{BARS}, {GRID}", "dense", families.base_factory))
 def features_base_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.digest(*matrix.base_factory(derived.bars(spark, sf_dir)))
@@ -113,24 +130,55 @@ def whole_sql() -> tuple[str, list[str], list[str]]:
 _CTES, _NAMES, _COMPOSITES = whole_sql()
 
 
-@registry.add(f"WITH RECURSIVE {_CTES}, n AS (SELECT {', '.join(f'count({n}) AS {n}' for n in [*_NAMES, *_COMPOSITES])} FROM composites) SELECT feature, n FROM (UNPIVOT n ON {', '.join([*_NAMES, *_COMPOSITES])} INTO NAME feature VALUE n)")
+_ALL = [*_NAMES, *_COMPOSITES]
+_CELLS = ", ".join(f"{{'feature': '{n}', 'n': count({n}), 'lo': min(CAST({n} AS DOUBLE)), 'hi': max(CAST({n} AS DOUBLE)), 'mean': avg(CAST({n} AS DOUBLE))}}" for n in _ALL)
+
+
+@registry.add(f"WITH RECURSIVE {_CTES}, cells AS (SELECT unnest([{_CELLS}], recursive := true) FROM composites) SELECT feature, n, {six('lo', 'lo')}, {six('hi', 'hi')}, {six('mean', 'mean')} FROM cells")
 def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(feature, n): values of every feature of the whole matrix."""
-    whole, names = matrix.all_features(derived.bars(spark, sf_dir), derived.fundamentals(spark, sf_dir))
-    counts = whole.agg(*[F.count(n).alias(n) for n in names])
-    return counts.unpivot([], names, "feature", "n")
+    """(feature, n, lo, hi, mean) of every feature of the whole matrix."""
+    return matrix.summary(*matrix.all_features(derived.bars(spark, sf_dir), derived.fundamentals(spark, sf_dir)))
 
 
-@registry.add()
-def ic_icir_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(feature, ic, icir) of every feature of the whole matrix, in one job."""
-    from factorlake.operators import research
+with dialect("duckdb"):
+    _PR = [to_duckdb(percent_rank(x, "PARTITION BY feature, date")) for x in ("value", "fwd")]
+#: Scores of every feature, of values to six digits, so that equal values are equal in any order of summation.
+_SCORED = f"""{_CTES}, fwds AS (SELECT date, ticker, lead(adj_close, 4) OVER (PARTITION BY ticker ORDER BY date) / nullif(adj_close, 0) - 1 AS fwd FROM dense),
+features AS (SELECT date, ticker, {', '.join(six(n, n) for n in _ALL)} FROM composites), long AS (SELECT * FROM (UNPIVOT features ON {', '.join(_ALL)} INTO NAME feature VALUE value) JOIN fwds USING (date, ticker) WHERE fwd IS NOT NULL),
+ranks AS (SELECT feature, date, {_PR[0]} AS rv, {_PR[1]} AS rf FROM long),
+series AS (SELECT feature, date, CASE WHEN count(*) >= 3 AND var_samp(rv) > 1e-12 AND var_samp(rf) > 1e-12 THEN covar_samp(rv, rf) / sqrt(var_samp(rv) * var_samp(rf)) END AS ic FROM ranks GROUP BY 1, 2),
+scores AS (SELECT feature, coalesce(avg(ic), 0) AS ic, CASE WHEN stddev_samp(ic) > 1e-12 THEN avg(ic) / stddev_samp(ic) ELSE 0 END AS icir FROM series GROUP BY 1),
+every AS (SELECT unnest([{', '.join(f"'{n}'" for n in _ALL)}]) AS feature), scored AS (SELECT feature, coalesce(ic, 0) AS ic, coalesce(icir, 0) AS icir FROM every LEFT JOIN scores USING (feature))"""
+
 
+def numbers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], DataFrame]:
+    """(the whole matrix as numbers to six digits, written once; its names; the bars)."""
     bars = derived.bars(spark, sf_dir)
     whole, names = matrix.all_features(bars, derived.fundamentals(spark, sf_dir))
-    forward = research.forward_returns(matrix.dense(bars), 4)
-    numbers = cut(whole.select("date", "ticker", *[F.col(n).cast("double").alias(n) for n in names]))
-    return research.ic_icir(research.ic_series(matrix.long(numbers, names), forward))
+    return cut(whole.select("date", "ticker", *[six_digits(F.col(n).cast("double")).alias(n) for n in names])), names, bars
+
+
+@registry.add(f"WITH RECURSIVE {_SCORED} SELECT feature, {six('ic', 'ic')}, {six('icir', 'icir')} FROM scored")
+def ic_icir_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature, ic, icir) of every feature of the whole matrix, in one job; features without a value have 0."""
+    whole, names, bars = numbers(spark, sf_dir)
+    return pipeline.score_matrix(whole, names, bars, horizon=4).select("feature", six_digits(F.col("ic")).alias("ic"), six_digits(F.col("icir")).alias("icir"))
+
+
+@registry.add(f"""WITH RECURSIVE {_SCORED}, nulls AS (SELECT unnest([{', '.join(f"{{'feature': '{n}', 'null_fraction': avg(({n} IS NULL)::INT)}}" for n in _ALL)}], recursive := true) FROM features)
+  SELECT feature, {six('null_fraction', 'null_fraction')}, abs(ic) >= 0.02 AND abs(icir) >= 0.1 AND null_fraction <= 0.3 AS passed FROM nulls JOIN scored USING (feature)""")
+def validation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature, null_fraction, passed) of every feature of the whole matrix."""
+    whole, names, bars = numbers(spark, sf_dir)
+    made = research.validation_summary(pipeline.score_matrix(whole, names, bars, horizon=4), research.null_fraction(whole, names), least_icir=0.1)
+    return made.select("feature", six_digits(F.col("null_fraction")).alias("null_fraction"), "passed")
+
+
+@registry.add()
+def redundant_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature, max_corr): features of the whole matrix that copy an earlier one; correlations of all pairs by blocks of rows."""
+    whole, names, _ = numbers(spark, sf_dir)
+    return research.redundant_features(research.corr_matrix(whole, names)).select("feature", six_digits(F.col("max_corr")).alias("max_corr"))
 
 
 @registry.add(f"""WITH RECURSIVE {_CTES}, features AS (SELECT ticker, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in _COMPOSITES)} FROM composites), long AS (UNPIVOT features ON {', '.join(_COMPOSITES)} INTO NAME feature VALUE value)
@@ -142,23 +190,17 @@ def features_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(f"WITH {BARS} SELECT date, ticker, {six('open', 'open')}, {six('high', 'high')}, {six('low', 'low')}, {six('close', 'close')}, volume FROM bars")
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factorlake.functions.scalar import six_digits
-
     made = derived.bars(spark, sf_dir)
     return made.select("date", "ticker", *[six_digits(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
 @registry.add(f"WITH {BARS}, {GRID} SELECT ticker, count(*) AS n_dates, count(adj_close) AS n_held, {six('sum(returns)', 'sum_returns')} FROM dense GROUP BY 1")
 def panel_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factorlake.functions.scalar import six_digits
-
     made = matrix.dense(derived.bars(spark, sf_dir)).groupBy("ticker").agg(F.count("*").alias("n_dates"), F.count("adj_close").alias("n_held"), F.sum("returns").alias("r"))
     return made.select("ticker", "n_dates", "n_held", six_digits(F.col("r")).alias("sum_returns"))
 
 
 @registry.add(f"WITH {BARS}, {GRID}, {FUNDAMENTALS}, {ASOF} SELECT date, ticker, {six('pe_ratio', 'pe_ratio')}, {six('roe', 'roe')}, sector FROM asof_panel WHERE adj_close IS NOT NULL")
 def asof_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factorlake.functions.scalar import six_digits
-
     made = P.asof_fundamentals(matrix.dense(derived.bars(spark, sf_dir)), derived.fundamentals(spark, sf_dir)).where("adj_close is not null")
     return made.select("date", "ticker", six_digits(F.col("pe_ratio")).alias("pe_ratio"), six_digits(F.col("roe")).alias("roe"), "sector")

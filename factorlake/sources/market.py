@@ -32,9 +32,21 @@ def scan_fundamentals(spark: SparkSession, path: str) -> DataFrame:
     return typed_panel(spark.read.parquet(path), list(FUNDAMENTALS), ("sector",))
 
 
+#: Types of the columns that a market file may have; others stay text.
+MARKET_TYPES = {"date": "timestamp", "ticker": "string", "open": "double", "high": "double", "low": "double", "close": "double", "volume": "double", "adj_close": "double"}
+
+
 def scan_any_market_file(spark: SparkSession, path: str, ticker: str = "CUSTOM") -> DataFrame:
-    """CSV (by its suffix) or Parquet; column names lower-cased and stripped; a file without tickers gets one."""
-    df = spark.read.option("header", True).csv(path) if path.lower().endswith(".csv") else spark.read.parquet(path)
+    """CSV (by its suffix) or Parquet; column names lower-cased and stripped; a file without tickers gets one.
+
+    A CSV is read by a schema made of its header, so values are typed while they are parsed and no pass infers types.
+    """
+    if path.lower().endswith(".csv"):
+        header = spark.read.option("header", True).csv(path).columns  # the first line alone
+        schema = ", ".join(f"`{c}` {MARKET_TYPES.get(c.lower().strip(), 'string')}" for c in header)
+        df = spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    else:
+        df = spark.read.parquet(path)
     df = df.toDF(*[c.lower().strip() for c in df.columns])
     if "ticker" not in df.columns:
         df = df.withColumn("ticker", F.lit(ticker))
@@ -43,6 +55,12 @@ def scan_any_market_file(spark: SparkSession, path: str, ticker: str = "CUSTOM")
     return typed_panel(df, ["open", "high", "low", "close", "volume", "adj_close"])
 
 
+def land_market_file(spark: SparkSession, path: str, out: str, ticker: str = "CUSTOM") -> DataFrame:
+    """A market file written as Parquet by ticker and date, and read from there."""
+    scan_any_market_file(spark, path, ticker).repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date").write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def scan_delisting(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, delist_date) from a CSV with a header."""
     df = spark.read.option("header", True).csv(path)
