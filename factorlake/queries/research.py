@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factorlake.functions.kernels import apply_layers, change, dialect, percent_rank, roll, to_duckdb
 from factorlake.functions.scalar import six_digits
+from factorlake.functions.staging import cut, shared_folder
+from factorlake.operators import daily_states
 from factorlake.operators import panel as P
 from factorlake.operators import research as R
 from factorlake.plans import matrix
@@ -156,6 +158,38 @@ def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(R.corr_matrix(small(spark, sf_dir), FEATURES), "r")
 
 
+def split_at_last_tenth(panel: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The panel written once, and its rows up to a tenth of the time before the end, then the others: what is stored first, and what is added."""
+    panel = cut(panel)
+    first, last = panel.agg(F.min("date"), F.max("date")).first()
+    limit = F.lit(last - (last - first) / 10)
+    return panel, [panel.where(F.col("date") <= limit), panel.where(F.col("date") > limit)]
+
+
+def states_of(spark: SparkSession, schema: str) -> daily_states.DailyStates:
+    from uuid import uuid4
+
+    return daily_states.DailyStates(spark, f"{shared_folder(spark)}/states-{uuid4().hex}", schema)
+
+
+@registry.add(registry.sql["corr_matrix"])
+def corr_matrix_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table from daily states to which the last dates were added later."""
+    states = states_of(spark, daily_states.PAIRS)
+    for part in split_at_last_tenth(small(spark, sf_dir))[1]:
+        states.add(daily_states.pair_states(part, FEATURES))
+    return shown(daily_states.correlations(states.between(), FEATURES), "r")
+
+
+@registry.add(registry.sql["ic_icir_all"])
+def ic_icir_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores from daily coefficients to which the last dates were added later."""
+    states = states_of(spark, daily_states.SCORES)
+    for part in split_at_last_tenth(small(spark, sf_dir))[1]:
+        states.add(daily_states.ic_states(long(part), part.select("date", "ticker", "fwd").where("fwd is not null")))
+    return shown(R.ic_icir(states.between()), "ic", "icir")
+
+
 @registry.add(f"WITH {SMALL} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {six(f'covar_samp({a}, {b})', 'cov')} FROM small" for i, a in enumerate(FEATURES) for b in FEATURES[i:]))
 def cov_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(R.cov_matrix(small(spark, sf_dir), FEATURES), "cov")
