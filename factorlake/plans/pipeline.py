@@ -10,9 +10,10 @@ from factorlake.sources import market, sinks
 
 
 def score_matrix(features: DataFrame, names: list[str], bars: DataFrame, horizon: int = 21, min_obs: int = 3) -> DataFrame:
-    """(feature, ic, icir) of every named feature in one grouped job over the long matrix; features without a score get 0."""
+    """(feature, ic, icir) of every named feature in one grouped job over the long matrix; features without a score, or without a column, get 0."""
     forward = research.forward_returns(matrix.dense(bars), horizon)
-    long = matrix.long(features.select("date", "ticker", *names), names)
+    held = [n for n in names if n in features.columns]
+    long = matrix.long(features.select("date", "ticker", *held), held)
     every = features.sparkSession.createDataFrame([(n,) for n in names], "feature string")
     return research.ic_icir(research.ic_series(long, forward, min_obs), every)
 
@@ -28,9 +29,8 @@ def run(spark: SparkSession, ohlcv: str, fundamentals: str | None, out: str, hor
     features, names = matrix.all_features(bars, reports)
     sinks.sink_features(features, f"{out}/features")
     features = panel.drop_empty_columns(spark.read.parquet(f"{out}/features"))
-    names = [n for n in names if n in features.columns]
     scores = score_matrix(features, names, bars, horizon).persist()
-    kept = research.validate_features(features, scores, names, **limits)
+    kept = research.validate_features(features, scores, [n for n in names if n in features.columns], **limits)
     sinks.sink_features(kept.drop("month"), f"{out}/validated")
     sinks.sink_scores_json(research.rank_signals(scores), f"{out}/scores")
     report = research.ranking_report(scores, top)
