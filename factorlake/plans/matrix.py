@@ -10,6 +10,7 @@ from factorlake.functions.scalar import six_digits
 from factorlake.functions.staging import cut
 from factorlake.operators import panel as P
 from factorlake.plans import features as families
+from factorlake.sources.sinks import panel_store
 
 KEY = ["date", "ticker"]
 
@@ -20,8 +21,8 @@ def dense(bars: DataFrame) -> DataFrame:
 
 
 def staged(bars: DataFrame) -> DataFrame:
-    """The dense panel, computed once for all families that use it."""
-    return cut(dense(bars))
+    """The dense panel, computed once for all families that use it, in buckets of tickers."""
+    return panel_store(dense(bars))
 
 
 def priced(df: DataFrame, names: list[str]) -> DataFrame:
