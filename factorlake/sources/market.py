@@ -92,12 +92,12 @@ def synthetic_panel(spark: SparkSession, n_tickers: int = 50, n_days: int = 1260
     return priced.select("date", "ticker", (F.col("close") * (1 - 0.002 * F.col("u"))).alias("open"), (F.col("close") * 1.01).alias("high"), (F.col("close") * 0.99).alias("low"), "close", (1e5 + 9.9e6 * F.col("u")).alias("volume"), F.col("close").alias("adj_close"))
 
 
-#: Ranges of made-up fundamentals (fixed values).
+#: Ranges of made-up fundamentals: our own, no more than plausible.
 RANGES = {
-    "pe_ratio": (5, 40), "pb_ratio": (0.5, 8), "roe": (-0.05, 0.35), "roa": (-0.02, 0.15), "gross_margin": (0.1, 0.7), "earnings_yield": (0.01, 0.12), "debt_equity": (0.1, 3.0),
-    "current_ratio": (0.5, 4.0), "asset_growth": (-0.1, 0.3), "accruals": (-0.1, 0.1), "ev_ebitda": (3, 25), "dividend_yield": (0, 0.06), "log_market_cap": (20, 27),
+    "pe_ratio": (8, 32), "pb_ratio": (0.7, 6), "roe": (-0.1, 0.3), "roa": (-0.04, 0.12), "gross_margin": (0.15, 0.65), "earnings_yield": (0.02, 0.1), "debt_equity": (0.0, 2.5),
+    "current_ratio": (0.6, 3.5), "asset_growth": (-0.15, 0.25), "accruals": (-0.08, 0.08), "ev_ebitda": (4, 20), "dividend_yield": (0, 0.05), "log_market_cap": (18, 26),
 }
-SECTORS = ("Tech", "Finance", "Health", "Energy", "Consumer")
+SECTORS = ("Industry", "Banks", "Software", "Utilities", "Retail", "Transport")
 
 
 def synthetic_fundamentals(spark: SparkSession, n_tickers: int = 50, n_days: int = 1260, seed: int = 42) -> DataFrame:

@@ -187,6 +187,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "m.csv").write_text("Date, Close ,VOLUME\n2024-01-02,1.5,10\n2024-01-03,2.5,NaN\n")
     got = market.scan_any_market_file(spark, f"{tmp_path}/m.csv").orderBy("date").collect()
     assert [r.ticker for r in got] == ["CUSTOM"] * 2 and got[1].close == 2.5 and got[1].volume is None
+    landed = market.land_market_file(spark, f"{tmp_path}/m.csv", f"{tmp_path}/landed", "XYZ")
+    assert dict(landed.dtypes)["close"] == "double" and sorted((r.ticker, r.close) for r in landed.collect()) == [("XYZ", 1.5), ("XYZ", 2.5)]
     panel = market.synthetic_panel(spark, 3, 40)
     sinks.sink_features(panel, f"{tmp_path}/out")
     assert market.scan_ohlcv(spark, f"{tmp_path}/out").count() == 120
