@@ -4,7 +4,7 @@ The model gives the next subword id in two steps: one attention layer over the l
 gives the id within its class. Classes, shares of ids within them, and how classes follow each other come from counts over
 all training text (``Classes``); the layer learns what the counts leave open.
 
-Training is data-parallel, in ``ROUNDS`` passes over disjoint windows, together one in ``EVERY`` of every part of the training text, so it grows with
+Training is data-parallel, in ``ROUNDS`` passes over disjoint windows, together one in ``every`` of every part of the training text (1: all), so it grows with
 the input: every task starts from the broadcast parameters, takes Adam steps on its own windows and sends its change, weighted by its
 targets, as integers; their sum is the same in any order. Only the parameters, whose size no input changes, are on the driver.
 
@@ -42,7 +42,7 @@ ENTRIES = 500_000
 ROUNDS = 4
 #: Windows of a training step and of a scoring batch.
 STEP, BATCH = 32, 64
-#: One window of a training text in this many takes part in training, whatever the input's size; counts take all.
+#: Unless a caller says otherwise one window of a training text in this many takes part in training, whatever the input's size; counts take all. The query trains on every window.
 EVERY = 16
 RATE = 0.01
 #: Changes are summed as integers in these units, times the number of targets.
@@ -337,7 +337,7 @@ def prepare(docs: DataFrame, hot, total: int, distinct: int, vocabulary: str, sh
             base, n_known = float(log_c[known] @ n[known]) - (len(words) + 1) * floor, int(n[known].sum())
             rare, times = [*compress(held, ~known)], n[~known]
             made = tokens.encode(lower.decode(), vocabulary, plain=True).astype("<u4")
-            windows = sampled_windows(made, row, shape, end, every).tobytes()
+            windows = sampled_windows(made, row, shape, end, every).tobytes() if every > 1 else b""  # all of them are cut from the ids
             for key, value in (("n_tokens", len(words) + 1), ("n_known", n_known), ("base", base), ("rare", rare), ("times", times), ("ids", made.tobytes()), ("row", row), ("windows", windows)):
                 out[key].append(value)
         return out | {"doc_id": ids}
@@ -402,7 +402,7 @@ def train(rows: DataFrame, vocabulary: str, shape: Shape, rounds: int = ROUNDS,
 
     params = start(shape)
     for number in range(rounds if counts.sum() else 0):
-        params = one_round(rows.where("not held_out").select("row", "windows"), params, sent_classes, follow, shape, end, number, rounds, every)
+        params = one_round(rows.where("not held_out").select("row", "windows" if every > 1 else "ids"), params, sent_classes, follow, shape, end, number, rounds, every)
     return classes, follow, params
 
 
@@ -413,8 +413,9 @@ def one_round(texts: DataFrame, params: dict, sent_classes, follow: np.ndarray,
 
     def of_round(batch: pa.RecordBatch) -> np.ndarray:
         made = [np.zeros((0, shape.context + 1), dtype="<u4")]
-        for row, windows in zip(batch.column("row").to_pylist(), batch.column("windows"), strict=True):
-            own = np.frombuffer(windows.as_py(), dtype="<u4").reshape(-1, shape.context + 1)
+        for row, value in zip(batch.column("row").to_pylist(), batch.column("windows" if every > 1 else "ids"), strict=True):
+            held = np.frombuffer(value.as_py(), dtype="<u4")
+            own = held.reshape(-1, shape.context + 1) if every > 1 else sampled_windows(held, row, shape, end, 1)
             made.append(own[(number - row // every) % rounds :: rounds])  # a text's windows go to the rounds in turn
         return np.concatenate(made)
 

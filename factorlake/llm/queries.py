@@ -51,7 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attention_lm.score(table(spark, sf_dir, "documents"))
+    return attention_lm.score(table(spark, sf_dir, "documents"), every=1)
 
 
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
