@@ -40,3 +40,21 @@ def test_families_need_one_sort_by_ticker(spark):
         last = [i for i, layer in enumerate(layers) if not any("PARTITION BY date" in sql for sql in layer.values())][-1]
         plan = K.apply_layers(panel, layers[: last + 1])._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1, family.__name__
+
+
+def test_digest_deals_only_what_ranks_need(spark):
+    """The digest of a family equals that of its matrix, and no value of a series column is shuffled a second time."""
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from factorlake.plans import matrix
+
+    r = np.random.default_rng(8)
+    rows = [(datetime(2024, 1, 1) + timedelta(days=d), f"t{t}", *map(float, r.uniform(5, 9, 4)), float(r.integers(1, 99))) for t in range(6) for d in range(90) if (d + t) % 9]
+    bars = spark.createDataFrame(rows, "date timestamp, ticker string, open double, high double, low double, close double, volume double").withColumn("adj_close", F.col("close"))
+    for plan in (matrix.volume_plan(bars), matrix.volatility_plan(bars), matrix.base_factory_plan(bars)):
+        made, (whole, names) = matrix.family_digest(*plan), matrix.priced(*plan)
+        key = lambda df: sorted(map(tuple, df.select("feature", "ticker", "n", *[F.round(c, 9).alias(c) for c in ("lo", "hi", "mean")]).collect()))
+        assert len(key(made)) > 100 and key(made) == key(matrix.digest(whole, names))
+        assert "Expand" not in made._jdf.queryExecution().optimizedPlan().toString()
