@@ -1,6 +1,7 @@
 """Series windows computed by blocks of tickers equal plain SQL frames: gaps, infinities, tickers of unlike length; a family's windows stay in one stage."""
 
 import numpy as np
+import pandas as pd
 
 from factorlake.functions import kernels as K
 from factorlake.functions import series
@@ -58,3 +59,10 @@ def test_digest_deals_only_what_ranks_need(spark):
         key = lambda df: sorted(map(tuple, df.select("feature", "ticker", "n", *[F.round(c, 9).alias(c) for c in ("lo", "hi", "mean")]).collect()))
         assert len(key(made)) > 100 and key(made) == key(matrix.digest(whole, names))
         assert "Expand" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exponential_mean_skips_missing_values(spark):
+    values = [None, 2.0, float("nan"), 3.0, None, 5.0]
+    df = spark.createDataFrame([("t", i, v) for i, v in enumerate(values)], "ticker string, date int, x double")
+    got = [r.e for r in series.add(df, {"e": ("ewm", ("x",), (3,))}).orderBy("date").collect()]
+    assert got[0] is None and np.allclose(got[1:], pd.Series(values, dtype=float).ewm(span=3, adjust=False).mean()[1:])
