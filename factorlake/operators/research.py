@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factorlake.functions.kernels import cross_z, fill_forward, percent_rank
 from factorlake.functions.moments import moments, pair_moments, to_matrix
 from factorlake.functions.order_statistics import at_share, rolling_quantiles
+from factorlake.functions.staging import cut
 
 KEY = ["date", "ticker"]
 
@@ -38,6 +39,62 @@ def ic_series(long: DataFrame, forward: DataFrame, min_obs: int = 3) -> DataFram
     return sums.select("feature", "date", F.when(good, F.col("c") / F.sqrt(F.col("a") * F.col("b"))).alias("ic"))
 
 
+#: Columns of a block: what a group of ``wide_ic_series`` holds of each row of a date.
+BLOCK = 16
+
+
+def wide_ic_series(parts: list[tuple[DataFrame, list[str]]], min_obs: int = 3) -> DataFrame:
+    """(feature, date, ic, pairs, held, rows) of wide parts (date, fwd, columns), a block of columns of a date at a time: ``ic_series``, of how many pairs, how many values there are, and of how many rows.
+
+    A row sends its values once, as an array a block, and a group ranks its columns one by one; no row is made of a value.
+    """
+    names = [n for _, own in parts for n in own]
+    dealt, first = [], 0
+    for df, own in parts:
+        blocks = [F.struct(F.lit(first + at).alias("first"), F.array(*[F.col(n).cast("double") for n in own[at : at + BLOCK]]).alias("values")) for at in range(0, len(own), BLOCK)]
+        dealt.append(df.select("date", F.col("fwd").cast("double").alias("fwd"), F.explode(F.array(*blocks)).alias("b")).select("date", "fwd", "b.first", "b.values"))
+        first += len(own)
+
+    def coefficients(group: pa.Table) -> pa.Table:
+        at, date = group.column("first")[0].as_py(), group.column("date")[0]
+        cells = pa.concat_arrays([c.flatten() for c in group.column("values").chunks])
+        valid = cells.is_valid().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        values = cells.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        forward = group.column("fwd")
+        known, forward = forward.is_valid().to_numpy(), forward.fill_null(0.0).to_numpy()
+        pairs = valid & known[:, None]
+        made = [rank_correlation(values[both, j], forward[both], min_obs) for j, both in enumerate(pairs.T)]
+        columns = {"feature": pa.array(names[at : at + len(made)]), "date": pa.array([date.as_py()] * len(made), date.type), "ic": pa.array(made, pa.float64())}
+        return pa.table(columns | {"pairs": pa.array(pairs.sum(axis=0)), "held": pa.array(valid.sum(axis=0)), "rows": pa.array([group.num_rows] * len(made))})
+
+    whole = dealt[0]
+    for part in dealt[1:]:
+        whole = whole.unionByName(part)
+    form = f"feature string, date {whole.schema['date'].dataType.simpleString()}, ic double, pairs long, held long, rows long"
+    return whole.groupBy("date", "first").applyInArrow(coefficients, form)
+
+
+def average_ranks(x: np.ndarray) -> np.ndarray:
+    """Average-tie ranks from 1; a NaN is larger than any number and equal to another."""
+    order = np.argsort(x, kind="stable")
+    ordered = x[order]
+    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]) & ~(np.isnan(ordered[1:]) & np.isnan(ordered[:-1]))])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(x)))
+    ranks = np.empty(len(x))
+    ranks[order] = np.repeat(first + (count + 1) / 2, count)
+    return ranks
+
+
+def rank_correlation(x: np.ndarray, y: np.ndarray, min_obs: int) -> float | None:
+    if len(x) < max(min_obs, 2):
+        return None
+    a, b = average_ranks(x) / len(x), average_ranks(y) / len(y)
+    a, b = a - a.mean(), b - b.mean()
+    aa, bb, ab = (float(s) / (len(x) - 1) for s in (a @ a, b @ b, a @ b))
+    return ab / float(np.sqrt(aa * bb)) if aa > 1e-12 and bb > 1e-12 else None
+
+
 def ic_icir(series: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """(feature, ic, icir): mean of the series, and mean over its deviation; 0 where there is none. features: names that must appear."""
     sums = series.groupBy("feature").agg(F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"))
@@ -46,17 +103,24 @@ def ic_icir(series: DataFrame, features: DataFrame | None = None) -> DataFrame:
     return sums.select("feature", F.coalesce("m", F.lit(0.0)).alias("ic"), F.when(F.col("s") > 1e-12, F.col("m") / F.col("s")).otherwise(0.0).alias("icir"))
 
 
-def spearman_pair(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (rho); 0 where it is undefined."""
-    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    if whole.isEmpty():
-        return df.sparkSession.createDataFrame([(0.0,)], "rho double")
-    matrix = Correlation.corr(VectorAssembler(inputCols=["x", "y"], outputCol="v").transform(whole), "v", "spearman").first()[0].toArray()
-    rho = float(matrix[0, 1])
-    return df.sparkSession.createDataFrame([(rho if np.isfinite(rho) else 0.0,)], "rho double")
+def spearman_pair(df: DataFrame, x: str, y: str, parts: int = 256) -> DataFrame:
+    """One row (rho); 0 where it is undefined. The pairs are computed once; each column is ranked within ranges of its values, whose sizes are known, so no task orders all rows."""
+    rows = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    limits = rows.approxQuantile(["x", "y"], [i / parts for i in range(1, parts)], 0.25 / parts)  # anywhere: they only part the rows
+    for c, bounds in zip(("x", "y"), limits):
+        rows = ranked_by_range(rows, c, sorted(set(bounds)))
+    spread = F.nullif(F.stddev_samp("x") * F.stddev_samp("y"), F.lit(0.0))
+    return rows.select((F.covar_samp("x", "y") / spread).alias("rho")).select(F.coalesce(F.nanvl("rho", F.lit(0.0)), F.lit(0.0)).alias("rho"))
+
+
+def ranked_by_range(rows: DataFrame, column: str, bounds: list[float]) -> DataFrame:
+    """rows with the column's average-tie rank in its place; bounds part its values into ranges."""
+    ranges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    keyed = rows.withColumn("_part", F.aggregate(ranges, F.lit(0), lambda n, b: n + (F.col(column) > b).cast("int")))
+    sizes = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    rank = F.expr(f"rank() OVER (PARTITION BY _part ORDER BY {column}) + (count(*) OVER (PARTITION BY _part, {column}) - 1) / 2.0D")
+    return keyed.withColumn("_rank", rank).join(F.broadcast(before), "_part").select(*[(F.col("_before") + F.col("_rank")).alias(c) if c == column else F.col(c) for c in rows.columns])
 
 
 def icir_annualised(series: DataFrame, last: int = 252) -> DataFrame:
