@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factorlake.operators import panel, research
 from factorlake.plans import matrix
@@ -10,12 +11,12 @@ from factorlake.sources import market, sinks
 
 
 def score_matrix(features: DataFrame, names: list[str], bars: DataFrame, horizon: int = 21, min_obs: int = 3) -> DataFrame:
-    """(feature, ic, icir) of every named feature in one grouped job over the long matrix; features without a score, or without a column, get 0."""
+    """(feature, ic, icir) of every named feature in one grouped job over blocks of columns; features without a score, or without a column, get 0."""
     forward = research.forward_returns(matrix.dense(bars), horizon)
     held = [n for n in names if n in features.columns]
-    long = matrix.long(features.select("date", "ticker", *held), held)
+    series = [research.wide_ic_series([(features.select("date", "ticker", *held).join(forward, ["date", "ticker"]), held)], min_obs)] if held else []
     every = features.sparkSession.createDataFrame([(n,) for n in names], "feature string")
-    return research.ic_icir(research.ic_series(long, forward, min_obs), every)
+    return research.ic_icir(series[0], every) if held else every.select("feature", F.lit(0.0).alias("ic"), F.lit(0.0).alias("icir"))
 
 
 def run(spark: SparkSession, ohlcv: str, fundamentals: str | None, out: str, horizon: int = 21, top: int = 50, **limits) -> DataFrame:
