@@ -7,15 +7,15 @@ sides there. Here each side states the formula in its own words.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from factorlake.functions.scalar import with_six_digits
 from factorlake.functions.staging import cut
 from factorlake.operators import panel as P
+from factorlake.plans import features as families
 from factorlake.plans import matrix
 from factorlake.sources import derived
 
 from .base import ASOF, BARS, FUNDAMENTALS, GRID, Registry, six
-from .research import shown
 
 registry = Registry()
 
@@ -23,8 +23,7 @@ registry = Registry()
 def values(parts: list[tuple[DataFrame, list[str]]], wanted: list[str]) -> DataFrame:
     """The wanted columns of some feature groups, to six significant digits."""
     own = [(df, [n for n in names if n in wanted]) for df, names in parts]
-    joined = P.join_features_outer(own).select("date", "ticker", *[F.col(n).cast("double").alias(n) for n in wanted])
-    return shown(joined, *wanted)
+    return with_six_digits(P.join_features_outer(own).select("date", "ticker", *wanted), wanted)
 
 
 def selected(columns: dict[str, str]) -> str:
@@ -62,9 +61,9 @@ _PRICE = {
   SELECT date, ticker, {selected(_PRICE)} FROM rolled WHERE c IS NOT NULL""")
 def feature_rows_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Momentum, volatility, volume and technical columns on one panel."""
-    bars = derived.bars(spark, sf_dir)
-    grid = matrix.staged(bars)
-    return values([family(bars, grid) for family in (matrix.momentum, matrix.volatility, matrix.volume, matrix.technical)], list(_PRICE))
+    grid = matrix.staged(derived.bars(spark, sf_dir).drop("open", "close"))
+    made = [families.momentum(), families.volatility(), families.volume(), families.technical()]
+    return with_six_digits(matrix.together(grid, made, list(_PRICE)), list(_PRICE))
 
 
 def percent_rank_sql(x: str) -> str:
@@ -88,9 +87,9 @@ _KNOWN = {
   SELECT date, ticker, {selected(_KNOWN)} FROM traded WHERE adj_close IS NOT NULL""")
 def feature_rows_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value and alternative columns on the panel with fundamentals as of each date."""
-    bars, fundamentals = derived.bars(spark, sf_dir), cut(derived.fundamentals(spark, sf_dir))
-    grid = matrix.staged(bars)
-    return values([matrix.value(bars, fundamentals, grid), matrix.alternative(bars, fundamentals, grid)], list(_KNOWN))
+    bars, fundamentals = derived.bars(spark, sf_dir).select("date", "ticker", "volume", "adj_close"), derived.fundamentals(spark, sf_dir)
+    panel = P.asof_fundamentals(matrix.dense(bars), fundamentals)
+    return with_six_digits(matrix.together(panel, [families.value(), families.alternative()], list(_KNOWN)), list(_KNOWN))
 
 
 _LAGS = {"roa": 4, "debt_equity": 4, "current_ratio": 4, "gross_margin": 4, "roe": 4}
