@@ -44,3 +44,13 @@ def test_composites_equal_those_of_the_joined_matrix_without_its_join(spark):
     assert len(got) > 450 and len(got) == len(want)
     same = lambda a, b: a == b or (isinstance(a, float) and isinstance(b, float) and (abs(a - b) < 1e-8 or (a != a and b != b)))
     assert all(same(a, b) for g, w in zip(got, want) for a, b in zip(g, w))
+
+
+def test_parts_in_buckets_of_their_key_join_without_an_exchange(spark):
+    from factorlake.sources.sinks import keyed_part
+
+    rows = spark.range(200).select(F.concat_ws("|", F.col("id").cast("string"), F.lit("t")).alias("row"), F.col("id").cast("int").alias("a"))
+    whole, part = keyed_part(rows, "row", 4), keyed_part(rows.where("a % 3 = 0").withColumnRenamed("a", "b"), "row", 4)
+    joined = whole.join(part.hint("merge"), "row", "left")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.agg(F.count("*"), F.sum("a"), F.count("b"), F.sum("b")).first()[:] == (200, 19900, 67, 6633)
